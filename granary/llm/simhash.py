@@ -154,7 +154,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE, similarity: flo
     # the share of unlike bits at the least similarity, with four standard errors to spare; the whole sets decide
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     pairs = written(pairs.where(far <= bits * bands * p + 4 * float(np.sqrt(bits * bands * p * (1 - p)))).select("a", "b"))
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select("b")).distinct()
+    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = written(rows.join(used, "doc_id", "left_semi"))
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     links = full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), f"a {kind}, b {kind}")
