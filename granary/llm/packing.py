@@ -124,25 +124,29 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids binary")
 
 
-def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The greatest price of lengths that fit together, and how often each is taken (any number of times)."""
+def _knapsack(prices: np.ndarray) -> tuple[float, np.ndarray]:
+    """The greatest price of lengths that fit together, and how often each is taken (any number of times).
+
+    prices[l] is the price of length l, minus infinity for lengths that are not to be had; prices[0] is unused.
+    """
+    capacity = len(prices) - 1
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(int(lengths[0]), capacity + 1):
-        value = best[room - lengths[: upto[room]]] + prices[: upto[room]]
+    best_back = best[::-1]  # so that what is left beside lengths 1, 2, ... is a plain slice
+    for room in range(1, capacity + 1):
+        value = best_back[capacity - room + 1 :] + prices[1 : room + 1]
         k = int(value.argmax())
         if value[k] > best[room - 1]:
-            best[room], last[room] = value[k], k
+            best[room], last[room] = value[k], k + 1
         else:
             best[room] = best[room - 1]
-    taken, room = np.zeros(len(lengths), np.int64), capacity
+    taken, room = np.zeros(capacity + 1, np.int64), capacity
     while room > 0:
         k = last[room]
         if k < 0:
             room -= 1
             continue
         taken[k] += 1
-        room -= int(lengths[k])
+        room -= int(k)
     return float(best[capacity]), taken
 
 
@@ -161,7 +165,10 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rate: floa
         open_ = np.flatnonzero(left)
         if not len(open_):
             break
-        value, taken = _knapsack(lengths[open_], prices[open_], capacity)
+        dense = np.full(capacity + 1, -np.inf)
+        dense[lengths[open_]] = prices[open_]
+        value, taken = _knapsack(dense)
+        taken = taken[lengths[open_]]
         if len(open_) == len(lengths):
             bound = max(bound, float((prices * asked).sum()) / value)
         taken = np.minimum(taken, left[open_])
