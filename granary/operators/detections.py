@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,11 +85,25 @@ def suppress(boxes: np.ndarray, conf: np.ndarray, iou: float) -> np.ndarray:
 def class_nms(detections: DataFrame, keys: list[str], iou: float = 0.3) -> DataFrame:
     """Non-maximum suppression of (x1, y1, x2, y2, conf) within `keys`, usually image and class.
 
-    Rows of equal confidence go by box. A group is one image's detections of a class.
+    Rows of equal confidence go by box. Groups are small and many, so that sorted partitions are streamed and each
+    run of equal keys is handled as it ends, rather than a frame made for every group.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable")
-        return pdf.iloc[suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float), iou)]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in parts:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            new = np.flatnonzero((pdf[keys].ne(pdf[keys].shift()) & ~(pdf[keys].isna() & pdf[keys].shift().isna())).any(axis=1).to_numpy())
+            rest = pdf.iloc[new[-1] :] if len(new) else None
+            yield pdf.iloc[_kept(pdf, new, iou)]
+        if rest is not None:
+            yield rest.iloc[_kept(rest, np.array([0, len(rest)]), iou)]
+
+    order = [*keys, F.desc("conf"), "x1", "y1", "x2", "y2"]
+    return detections.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, detections.schema)
+
 
-    return detections.groupBy(*keys).applyInPandas(run, detections.schema)
+def _kept(pdf: pd.DataFrame, edges: np.ndarray, iou: float) -> np.ndarray:
+    boxes, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
+    parts = [s + suppress(boxes[s:e], conf[s:e], iou) if e - s > 1 else np.array([s]) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)

@@ -116,8 +116,16 @@ def refine_masks(rows: DataFrame, cls: str = "class_name") -> DataFrame:
 
 def pixels(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, x, y) of all set pixels."""
-    at = F.filter(F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda k: F.when(F.get(F.split(F.hex("mask"), "(?<=\\G..)"), k) != "00", k)), lambda k: k.isNotNull())
-    return rows.select(*keys, "w", F.explode(at).alias("_k")).select(*keys, (F.col("_k") % F.col("w")).cast("int").alias("x"), F.floor(F.col("_k") / F.col("w")).cast("int").alias("y"))
+    kinds = dict(rows.dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for _, r in pdf.iterrows():
+                y, x = np.nonzero(of_row(r))
+                yield pd.DataFrame({**{k: [r[k]] * len(x) for k in keys}, "x": x, "y": y})
+
+    own = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return rows.select(*keys, "h", "w", "mask").mapInPandas(run, f"{own}, x int, y int")
 
 
 def eroded_pixels(points: DataFrame, *keys: str) -> DataFrame:

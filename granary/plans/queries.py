@@ -1,6 +1,341 @@
-def queries():
-    return {}
+"""The registered queries over the driver's tables, each with the DuckDB SQL that it is compared with.
 
+Stand-ins: an order is an image, a line item an instance, its return flag the class, ten times its discount the
+confidence; event values are latencies; document texts are file contents and label files.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import geometry, text
+from granary.operators import audit, balance, counts, dedupe, detections, latency, skeleton, split
+from granary.sources import labels
+
+CLASSES = ["A", "N", "R"]
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").withColumn("conf", F.col("l_discount") * 10)
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"))
+    instances = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_name"), "l_discount")
+    return counts.with_errors(counts.count_grid(images, instances, "image", "class_name", CLASSES, F.col("l_discount") >= 0.03))
+
+
+_GRID = """WITH cell AS (SELECT l_orderkey AS image, l_returnflag AS class_name, count(*) AS gt, count(*) FILTER (l_discount >= 0.03) AS pred FROM lineitem GROUP BY 1, 2),
+grid AS (SELECT o_orderkey AS image, c AS class_name FROM orders, (VALUES ('A'), ('N'), ('R')) v(c)),
+counted AS (SELECT grid.image, grid.class_name, coalesce(gt, 0) AS gt_count, coalesce(pred, 0) AS pred_count FROM grid LEFT JOIN cell USING (image, class_name)),
+errors AS (SELECT *, pred_count - gt_count AS error, abs(pred_count - gt_count) AS abs_error, (pred_count - gt_count) * (pred_count - gt_count) AS squared_error, pred_count = gt_count AS exact FROM counted),
+totals AS (SELECT image, sum(gt_count)::BIGINT AS gt_count, sum(pred_count)::BIGINT AS pred_count FROM counted GROUP BY image),
+total_errors AS (SELECT *, pred_count - gt_count AS error, abs(pred_count - gt_count) AS abs_error, (pred_count - gt_count) * (pred_count - gt_count) AS squared_error, pred_count = gt_count AS exact FROM totals)
+"""
+_METRIC = "count(*) AS samples, sum(gt_count)::BIGINT AS gt_total, sum(pred_count)::BIGINT AS pred_total, round(avg(abs_error), 6) AS mae, round(sqrt(avg(squared_error)), 6) AS rmse, round(avg(exact::INT), 6) AS exact_accuracy"
+
+
+@_query(f"{_GRID} SELECT class_name, {_METRIC} FROM errors GROUP BY class_name")
+def count_error_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_metric(_errors(spark, sf_dir), "class_name")
+
+
+@_query(f"{_GRID} SELECT {_METRIC} FROM errors")
+def count_error_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_metric(_errors(spark, sf_dir))
+
+
+@_query(f"{_GRID} SELECT {_METRIC} FROM total_errors")
+def count_error_image_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_metric(counts.image_totals(_errors(spark, sf_dir), "image"))
+
+
+@_query(f"{_GRID} SELECT 'class' AS row_type, image, class_name, gt_count, pred_count, error, abs_error, squared_error, exact FROM errors UNION ALL SELECT 'image_total', image, 'overall', gt_count, pred_count, error, abs_error, squared_error, exact FROM total_errors")
+def count_errors_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = _errors(spark, sf_dir)
+    total = counts.image_totals(errors, "image").withColumns({"row_type": F.lit("image_total"), "class_name": F.lit("overall")})
+    return errors.withColumn("row_type", F.lit("class")).unionByName(total).select("row_type", "image", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact")
+
+
+@_query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.summary(_t(spark, sf_dir, "events"), "value", "event_type")
+
+
+@_query("""SELECT event_id, user_id, round(avg(value) OVER w, 6) AS rolling_mean, CASE WHEN count(value) OVER w >= 5 THEN round(quantile_cont(value, 0.95) OVER w, 6) END AS rolling_p95
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.rolling(_t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), "value", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "rolling_mean", "rolling_p95")
+
+
+@_query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.missing(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def missing_label_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.missing(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@_query("SELECT DISTINCT l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE l_orderkey = o_orderkey)")
+def missing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.missing(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").distinct()
+
+
+@_query("SELECT l_linestatus, l_returnflag, count(*) AS instances, count(DISTINCT l_orderkey) AS images FROM lineitem GROUP BY GROUPING SETS ((l_linestatus, l_returnflag), (l_returnflag))")
+def dense_class_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.class_balance(_t(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag", "l_orderkey").select("l_linestatus", "l_returnflag", "instances", "images")
+
+
+@_query("SELECT objects, count(*) AS images FROM (SELECT l_orderkey, count(*) AS objects FROM lineitem GROUP BY 1) GROUP BY objects")
+def objects_per_image_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.objects_histogram(_t(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@_query("SELECT p_size, count(*) AS images FROM part GROUP BY p_size")
+def size_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.size_histogram(_t(spark, sf_dir, "part"), "p_size")
+
+
+@_query("SELECT count(*) AS images, count(n) AS labelled, coalesce(sum(n), 0)::BIGINT AS instances, count(*) FILTER (n IS NULL) AS without FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.totals(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "source", F.sha1("text").alias("digest"))
+
+
+_RANKED = "(SELECT doc_id, source, sha1(text) AS digest, first_value(doc_id) OVER (PARTITION BY sha1(text) ORDER BY source <> 'src0', doc_id) AS first FROM documents)"
+
+
+@_query(f"SELECT doc_id, source, digest FROM {_RANKED} WHERE doc_id = first")
+def exact_dedupe_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.kept(_hashed(spark, sf_dir), "digest", "source", "doc_id", "src0").select("doc_id", "source", "digest")
+
+
+@_query(f"SELECT doc_id, first AS kept_path FROM {_RANKED} WHERE doc_id <> first")
+def exact_dedupe_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.dropped(_hashed(spark, sf_dir), "digest", "source", "doc_id", "src0")
+
+
+@_query("""WITH r AS (SELECT c_custkey, c_mktsegment || '.jpg' AS name, sha1(c_name) AS digest, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer)
+SELECT c_custkey, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.jpg$', '') || '_' || substr(digest, 1, 10) || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END || '.jpg' END AS output_name
+FROM (SELECT *, row_number() OVER (PARTITION BY name, digest, n = 1 ORDER BY c_custkey) AS k FROM r)""")
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(".jpg")).alias("name"), F.sha1("c_name").alias("digest"))
+    return dedupe.output_names(rows, "name", "digest", ["c_custkey"]).select("c_custkey", "output_name")
+
+
+@_query("""SELECT o_orderkey, unnest(range(CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 4 ELSE 1 END))::INT AS copy_no FROM orders""")
+def balance_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    return balance.oversample(_t(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_returnflag", ["R"])
+
+
+@_query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_discount * 10 >= CASE WHEN l_returnflag = 'R' THEN 0.08 ELSE 0.25 END GROUP BY 1")
+def per_class_conf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).where(detections.confident(F.col("conf"), F.col("l_returnflag"), {"R": 0.08}, 0.25))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_returnflag, round(avg(l_discount * 10), 3) AS mean_conf, round(min(l_discount * 10), 3) AS min_conf, round(max(l_discount * 10), 3) AS max_conf FROM lineitem GROUP BY 1")
+def confidence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.confidence_stats(_lines(spark, sf_dir), "l_returnflag", "conf")
+
+
+@_query("""WITH h AS (SELECT l_orderkey, bool_or(l_returnflag = 'R' AND l_discount * 10 >= 0.25) AS has FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_returnflag, NOT has AS retried, count(*) AS n FROM lineitem JOIN h USING (l_orderkey) WHERE l_discount * 10 >= 0.25 OR (NOT has AND l_returnflag = 'R' AND l_discount * 10 >= 0.08) GROUP BY ALL""")
+def low_conf_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.low_confidence_retry(_lines(spark, sf_dir), "l_orderkey", "l_returnflag", "conf", "R", 0.25, 0.08)
+    return rows.groupBy("l_orderkey", "l_returnflag", "retried").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, l_returnflag, count(*) AS raw_count, count(*) FILTER (l_quantity >= 25) AS effective_count FROM lineitem GROUP BY 1, 2")
+def effective_vs_raw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections.counts_raw_and_effective(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity", 25)
+
+
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate"
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag <> 'R', {_ORDER})::INT AS instance_id FROM lineitem WHERE l_returnflag <> 'N'")
+def instance_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.number_instances(_t(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", _ORDER.split(", "), "R", ["N"])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "instance_id")
+
+
+@_query(f"SELECT l_orderkey, l_partkey, l_linenumber, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1) % 5)::INT AS colour FROM lineitem WHERE l_returnflag = 'N' AND l_quantity >= 20")
+def palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'N' AND l_quantity >= 20")
+    return detections.palette_index(rows, "l_orderkey", _ORDER.split(", ")).select("l_orderkey", "l_partkey", "l_linenumber", "colour")
+
+
+_LABELS = "SELECT l_orderkey, concat_ws(' ', l_linenumber - 2, l_quantity, l_tax, l_partkey % 7, CASE WHEN l_suppkey % 3 > 0 THEN 1 END, CASE WHEN l_suppkey % 3 > 0 THEN 2 END, 0.5, CASE WHEN l_suppkey % 5 = 0 THEN 1 END) AS line, l_linenumber, l_partkey FROM lineitem"
+
+
+def _label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label file with one line for each line item, some of them broken."""
+    if_ = lambda cond, x: F.when(F.expr(cond), x)
+    line = F.concat_ws(" ", (F.col("l_linenumber") - 2).cast("string"), F.col("l_quantity").cast("string"), F.col("l_tax").cast("string"), (F.col("l_partkey") % 7).cast("string"), if_("l_suppkey % 3 > 0", "1"), if_("l_suppkey % 3 > 0", "2"), F.lit("0.5"), if_("l_suppkey % 5 = 0", "1"))
+    return _t(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("image"), F.concat(line, F.lit("\n\n")).alias("text"))
+
+
+_TOKENS = "4 + 2 * (l_suppkey % 3 > 0)::INT + 1 + (l_suppkey % 5 = 0)::INT"
+_IMAGE = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@_query(f"""SELECT error, count(*) AS n FROM (SELECT CASE WHEN {_TOKENS} < 7 THEN 'fewer than three points' WHEN ({_TOKENS} - 1) % 2 <> 0 THEN 'odd number of coordinates' WHEN l_linenumber - 2 NOT BETWEEN 0 AND 2 THEN 'class out of range' END AS error FROM lineitem) GROUP BY error""")
+def label_lines_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.parse_labels(_label_files(spark, sf_dir), "image", "text", 3, "strict").groupBy("error").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT {_IMAGE} AS image, CASE WHEN l_linenumber - 2 BETWEEN 0 AND 2 THEN l_linenumber - 2 END AS class_id, 0 AS line_no FROM lineitem")
+def label_lines_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.parse_labels(_label_files(spark, sf_dir), "image", "text", 3, "lenient").select("image", "class_id", "line_no")
+
+
+@_query(f"SELECT {_IMAGE} AS image, l_linenumber - 2 AS class_id FROM lineitem WHERE l_linenumber - 2 BETWEEN 0 AND 2")
+def label_lines_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.parse_labels(_label_files(spark, sf_dir), "image", "text", 3, "skip").select("image", "class_id")
+
+
+@_query("SELECT doc_id, (i - 1)::INT AS line_no, regexp_extract(ltrim(l, ' ' || chr(9) || chr(11) || chr(12)), '^[^ \\t\\x0B\\f]+') AS class_token FROM (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS s FROM documents)) WHERE trim(l, ' ' || chr(9) || chr(11) || chr(12)) <> ''")
+def label_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.parse_labels(_t(spark, sf_dir, "documents"), "doc_id", "text", 3, "token").select("doc_id", "line_no", "class_token")
+
+
+_STARTS = "list_concat(range(0, greatest(1, {0} - 639), 512), CASE WHEN range(0, greatest(1, {0} - 639), 512)[-1] < {0} - 640 THEN [greatest(0, {0} - 640)] ELSE [] END)"
+
+
+@_query(f"SELECT p_partkey, unnest({_STARTS.format('w')})::INT AS x0, y0::INT AS y0 FROM (SELECT p_partkey, w, unnest({_STARTS.format('h')}) AS y0 FROM (SELECT p_partkey, p_size * 64 AS w, p_size * 40 AS h FROM part))")
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 64).alias("w"), (F.col("p_size") * 40).alias("h"))
+    return detections.tiles(images, "w", "h").select("p_partkey", "x0", "y0")
+
+
+@_query()
+def class_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
+    rows = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_name"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity")).alias("x2"), (y + F.col("l_quantity")).alias("y2"), "conf")
+    return detections.class_nms(rows, ["image", "class_name"])
+
+
+@_query("""SELECT label, count(*) AS n, round(CASE WHEN a <= -90 THEN a + 180 ELSE a END, 4) AS angle_deg FROM (SELECT label, degrees(0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y))) AS a FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label) JOIN embeddings USING (label) GROUP BY label, a""")
+def pca_angle_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _t(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return skeleton.principal_axis(points, "label").select("label", "n", F.round("angle_deg", 4).alias("angle_deg"))
+
+
+@_query("SELECT vec_id, round(list_sum(list_transform(range(2, 33), lambda k: sqrt(pow(embedding[2 * k - 1]::DOUBLE - embedding[2 * k - 3]::DOUBLE, 2) + pow(embedding[2 * k]::DOUBLE - embedding[2 * k - 2]::DOUBLE, 2)))), 4) AS length_px FROM embeddings")
+def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda odd: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.get("embedding", 2 * k + odd).cast("double"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(geometry.polyline_length(at(0), at(1)), 4).alias("length_px"))
+
+
+def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 64).cast("int").alias("x"), F.col("l_quantity").cast("int").alias("y")).distinct()
+
+
+_PX = "WITH p AS (SELECT DISTINCT l_suppkey AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem), n AS (SELECT a.i, a.x, a.y, abs(a.x - b.x) + abs(a.y - b.y) AS d, a.x < b.x OR (a.x = b.x AND a.y < b.y) AS up FROM p a JOIN p b ON a.i = b.i AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y))"
+
+
+@_query(f"{_PX} SELECT kind, count(*) AS n FROM (SELECT CASE least(count(n.i), 3) WHEN 0 THEN 'isolated' WHEN 1 THEN 'end' WHEN 2 THEN 'path' ELSE 'branch' END AS kind FROM p LEFT JOIN n USING (i, x, y) GROUP BY p.i, p.x, p.y) GROUP BY kind")
+def skeleton_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.degrees(_pixels(spark, sf_dir), "i").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@_query(f"{_PX} SELECT p.i, round(coalesce(max(s), 0), 6) AS length_px FROM p LEFT JOIN (SELECT i, sum(CASE WHEN d = 2 THEN sqrt(2) ELSE 1 END) AS s FROM n WHERE up GROUP BY i) q ON p.i = q.i GROUP BY p.i")
+def skeleton_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.skeleton_length(_pixels(spark, sf_dir), "i")
+
+
+@_query()
+def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.beam_geometry(_pixels(spark, sf_dir), "i")
+
+
+@_query()
+def nail_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skeleton.t_profile(_pixels(spark, sf_dir), "i")
+
+
+_PLACE = "('0x' || substr(sha1(n_nationkey::VARCHAR), 1, 7))::BIGINT / 268435456.0"
+
+
+@_query(f"SELECT n_nationkey, CASE WHEN {_PLACE} < 0.7 THEN 'train' WHEN {_PLACE} < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM nation")
+def group_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.by_hash(_t(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("image"), F.col("c_mktsegment").alias("cls"))
+
+
+@_query("SELECT c_nationkey AS grp, count(DISTINCT c_custkey) AS images, count(*) AS instances FROM customer GROUP BY 1")
+def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = split.group_payload(_grouped(spark, sf_dir), "grp", "image", "cls")
+    return payload.select("grp", "images", F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("instances"))
+
+
+@_query()
+def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.search(_grouped(spark, sf_dir), "grp", "image", "cls", trials=200)
+
+
+@_query("SELECT s_nationkey, s_name, rank FROM (SELECT s_nationkey, s_name, n_regionkey AS rank, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE k = 1")
+def model_registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_name").alias("s_name"))
+    return first.join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_nationkey", "s_name", F.col("n_regionkey").alias("rank")).orderBy("rank", F.lower("s_name"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def metrics_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@_query("SELECT l_orderkey, string_agg(l_returnflag || ': ' || n, ' | ' ORDER BY lower(l_returnflag)) AS breakdown FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def class_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("name")).agg(F.count("*").alias("n"))
+    return per.groupBy("l_orderkey").agg(text.breakdown_text(F.collect_list(F.struct("name", "n"))).alias("breakdown"))
+
+
+@_query("SELECT vec_id, '(' || trunc(embedding[1] * 100)::INT || ', ' || trunc(embedding[2] * 100)::INT || ')' AS points FROM embeddings")
+def point_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: (F.col("embedding")[k] * F.lit(100).cast("float")).cast("int")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", text.points_text(F.array(F.struct(at(0).alias("x"), at(1).alias("y")))).alias("points"))
+
+
+@_query("SELECT source_group, count(*) AS n FROM (SELECT lower(regexp_extract(c_mktsegment || '.rf.' || c_custkey || '.jpg', '^(.*?)\\.rf\\.', 1)) AS source_group FROM customer) GROUP BY 1")
+def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("c_mktsegment", F.lit(".rf."), "c_custkey", F.lit(".jpg"))
+    return _t(spark, sf_dir, "customer").groupBy(labels.source_group(name).alias("source_group")).agg(F.count("*").alias("n"))
