@@ -72,7 +72,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     Documents without a row keep all lines. A document is a doc_id: rows that repeat one, or that have none, count
     as one document, and no doc_id comes after every other. text_hash tells rows of one doc_id with unlike texts apart.
     """
-    keys = line_keys(docs, min_chars)
+    keys = written(line_keys(docs, min_chars))  # the partitioner reads it twice, to draw its bounds and to deal it
     dealt = keys.repartitionByRange("h1", "h2", F.col("doc_id").asc_nulls_last(), "text_hash", "pos").sortWithinPartitions("h1", "h2", F.col("doc_id").asc_nulls_last(), "text_hash", "pos")
     kind = dict(docs.dtypes)["doc_id"]
     found = written(dealt.mapInArrow(_stream, f"h1 long, h2 long, doc_id {kind}, text_hash long, n_lines int, pos int, kind int"))
