@@ -26,7 +26,7 @@ CAPACITY = 2048
 #: Groups into which each length's pieces are dealt for ranking, so that no length is ranked in one task.
 DEALS = 512
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -95,21 +95,23 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary or default_vocabulary())
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 2 << 20):
             codes, words, counts = word_codes(batch.column("text"))
             ids = encoder.encode(words)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             size = np.append(size, 1)
-            first = bounds(size)[:-1]
+            first = bounds(size)[:-1].astype(np.int32)
             flat = np.fromiter((i for w in (*ids, (0,)) for i in w), np.uint32, int(size.sum()))
             ends = np.cumsum(counts) + np.arange(len(counts))
-            full = np.full(len(codes) + len(counts), len(words), np.int64)
+            full = np.full(len(codes) + len(counts), len(words), np.int32)
             inner = np.ones(len(full), bool)
             inner[ends] = False
             full[inner] = codes
             n = size[full]
-            stream = flat[np.repeat(first[full] - bounds(n)[:-1], n) + np.arange(int(n.sum()))]
             edge = bounds(n)
+            stream = np.repeat((first[full] - edge[:-1]).astype(np.int32), n)  # int32: a chunk, or one text, has fewer tokens
+            stream += np.arange(len(stream), dtype=np.int32)
+            stream = flat[stream]
             doc_end = edge[ends + 1]
             tokens = np.diff(doc_end, prepend=0)
             pieces = -(-tokens // capacity)
@@ -117,7 +119,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
             piece = np.arange(len(owner)) - np.repeat(bounds(pieces)[:-1], pieces)
             start = piece * capacity
             length = np.minimum(capacity, tokens[owner] - start)
-            data = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(np.append((doc_end - tokens)[owner] + start, len(stream)).astype(np.int64).__mul__(4).astype(np.int32)), pa.py_buffer(stream)])
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((np.append((doc_end - tokens)[owner] + start, len(stream)) * 4).astype(np.int32)), pa.py_buffer(stream)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), data], names=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
