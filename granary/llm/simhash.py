@@ -19,8 +19,9 @@ from granary.llm.common import LOWER, UPPER, chunks, written
 from granary.llm.components import components
 
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: For the corpus operator: bits of a band, bands of a document, words of a shingle, least similarity.
-BAND_BITS, BANDS, SHINGLE, SIMILARITY = 24, 12, 5, 0.8
+#: For the corpus operator: bits of a band, bands of a document, words of a shingle, least similarity. Bands of
+#: unlike texts meet by chance about n * n * bands * 529 / 2**33 times with 32 bits: wider ones suit larger corpora.
+BAND_BITS, BANDS, SHINGLE, SIMILARITY = 32, 12, 5, 0.8
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -58,14 +59,15 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def ball_links(points: DataFrame, bits: int, value: Column, by: list[str], node: str) -> DataFrame:
+def ball_links(points: DataFrame, bits: int, value: Column, node: str) -> DataFrame:
     """(a, b): nodes whose values are within two bits, linked over the least node met at each place.
 
-    `points` has a row for each distinct (by, value). All values that meet are within two bits of one another.
+    `points` has a row for each distinct value, and only the lowest `bits` bits are changed, so that higher ones can
+    say which values may meet at all. All values that meet are within two bits of one another.
     """
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k).cast("long") for k in range(bits)])
-    sent = points.select(*by, F.col(node).alias("a"), value.alias("_value"), F.explode(flips).alias("_flip")).select(*by, "a", F.col("_value").bitwiseXOR(F.col("_flip")).alias("_place"))
-    met = sent.withColumn("b", F.min("a").over(Window.partitionBy(*by, "_place")))
+    sent = points.select(F.col(node).alias("a"), value.alias("_value"), F.explode(flips).alias("_flip")).select("a", F.col("_value").bitwiseXOR(F.col("_flip")).alias("_place"))
+    met = sent.withColumn("b", F.min("a").over(Window.partitionBy("_place")))
     return met.where("a != b").select("a", "b").distinct()
 
 
@@ -78,7 +80,7 @@ def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     rows = written(fingerprints(docs, words))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(ball_links(distinct, 64, F.col("fp"), [], "fp"))
+    joined = components(ball_links(distinct, 64, F.col("fp"), "fp"))
     classed = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     known = classed.join(least, "component").select("fp", "component_id")
@@ -97,7 +99,7 @@ def _mix(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def banded_fingerprints(docs: DataFrame, words: int = SHINGLE, bits: int = BAND_BITS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, bands ARRAY<INT>): a longer SimHash, cut into bands; null for texts without words."""
+    """(doc_id, bands ARRAY<LONG>): a longer SimHash, cut into bands; null for texts without words."""
     wide = -(-bits * bands // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +108,10 @@ def banded_fingerprints(docs: DataFrame, words: int = SHINGLE, bits: int = BAND_
             out = []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text or "", words)
-                out.append((majority_bits(_mix(h, wide))[: bits * bands].reshape(bands, bits) @ power).astype(np.int32) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "bands"])
+                out.append((majority_bits(_mix(h, wide))[: bits * bands].reshape(bands, bits) @ power) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, bands array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, bands array<long>")
 
 
 def _similar(words: int, least: float):
@@ -139,14 +141,14 @@ def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE, similarity: flo
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    printed = written(banded_fingerprints(rows, words, bits, bands).withColumn("whole", F.xxhash64(F.coalesce("bands", F.array().cast("array<int>")), F.lit(0))))
+    printed = written(banded_fingerprints(rows, words, bits, bands).withColumn("whole", F.xxhash64(F.coalesce("bands", F.array().cast("array<long>")), F.lit(0))))
     heads = written(printed.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")))
     points = heads.where("bands IS NOT NULL").select("doc_id", F.posexplode("bands").alias("band", "value"))
-    points = written(points)
-    firsts = points.groupBy("band", "value").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
+    points = written(points.select("doc_id", (F.shiftleft(F.col("band").cast("long"), bits) + F.col("value")).alias("value")))
+    firsts = points.groupBy("value").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
     firsts = written(firsts)
-    equal = points.join(firsts.where("n > 1"), ["band", "value"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    near = ball_links(firsts, bits, F.col("value").cast("long"), ["band"], "node")
+    equal = points.join(firsts.where("n > 1"), "value").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    near = ball_links(firsts, bits, F.col("value"), "node")
     prints = heads.select("doc_id", "bands")
     far = F.aggregate(F.zip_with("bands_a", "bands_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
     pairs = written(equal.unionByName(near).distinct())
