@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower, chunks, written
+from granary.llm.common import ascii_lower, chunks, free_name, written
 
 MIN_CHARS = 10
 _SPACE = " \t\n\x0b\x0c\r"
@@ -99,21 +99,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with each text's kept lines joined by line ends, and n_lines and n_dropped; a null text becomes empty."""
+    docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    marks = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_dropped"))
-    joined = docs.join(marks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left").drop("_doc", "_hash")
+    doc, hash_, kept, dropped = (free_name(x, docs) for x in ("_doc", "_hash", "_keep", "_dropped"))
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(hash_), F.col("keep").alias(kept), F.col("n_dropped").alias(dropped))
+    joined = docs.join(marks.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left").drop(doc, hash_)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             texts, lines = batch.column("text").to_pylist(), []
-            for k, keep in enumerate(batch.column("_keep").to_pylist()):
+            for k, keep in enumerate(batch.column(kept).to_pylist()):
                 texts[k] = texts[k] or ""
                 lines.append(texts[k].count("\n") + 1)
                 if keep is not None:
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=lines[-1])
                     texts[k] = "\n".join(x for x, b in zip(texts[k].split("\n"), bits.tolist(), strict=True) if b)
             own = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), batch.column("_dropped").fill_null(0).cast(pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lines, pa.int64()), batch.column(dropped).fill_null(0).cast(pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return joined.mapInArrow(cut, f"{schema}, n_lines long, n_dropped long")
@@ -122,7 +124,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` without the lines that an earlier document has, and n_lines (before) and n_dropped.
 
-    `docs` must not have columns of these two names. Lines compare without outer white space and with A-Z
-    lower-cased; shorter keys than `min_chars` code points always stay, and so do repeats inside one document.
+    Columns of `docs` of these two names are replaced, all others stay. Lines compare without outer white space and with A-Z
+    lower-cased; shorter keys than `min_chars` code points always stay, and so do repeats inside one document. A null or empty
+    text is one empty line and comes out empty; rows that repeat a doc_id, or have none, count as one document, and
+    rows without one lose a shared line to any other; an empty table gives an empty result.
     """
     return apply_bitmaps(docs, keep_bitmaps(docs, min_chars))

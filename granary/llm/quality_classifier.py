@@ -132,8 +132,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, model: Ordi
 
     Either a model or labels to fit one on are needed. Whole texts count. A null or empty text has no features, so
     it gets what the thresholds alone say; without ratings the model knows nothing and gives every grade its prior.
-    `docs` must not have columns of the three names.
+    Columns of `docs` of the three names are replaced, all others stay; rows and ids may repeat, and an empty table
+    gives an empty result.
     """
+    docs = docs.drop("expected_grade", "tail_probability", "kept")
     told = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     names = docs.columns
 
