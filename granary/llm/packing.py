@@ -152,17 +152,21 @@ def _knapsack(prices: np.ndarray) -> tuple[float, np.ndarray]:
     return float(best[capacity]), taken
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.3, rounds: int = 4000) -> tuple[list[tuple[int, dict[int, int]]], float]:
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.3, rounds: int = 4000, reserve: int = 2) -> tuple[list[tuple[int, dict[int, int]]], float]:
     """([(number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
 
     The bound is the best value of the prices as a solution of the dual program. Prices start in proportion to
-    length and fall with the share of a length that is covered. The plan covers the histogram exactly.
+    length and fall with the share of a length that is covered. `reserve` pieces of each length stay out of the
+    program, so that rounding has small pieces for its gaps. What the program left over is packed best fit, either
+    with the configurations that leave room taken apart again or not: the fewer sequences win. The plan covers the
+    histogram exactly.
     """
-    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
-    if not len(lengths):
-        return [], 0.0
-    asked = np.array([histogram[int(k)] for k in lengths], np.int64)
-    left, prices, bound, plan = asked.copy(), lengths / capacity, float((lengths * asked).sum()) / capacity, []
+    histogram = {k: n for k, n in histogram.items() if n > 0}
+    lengths = np.array(sorted(k for k, n in histogram.items() if n > reserve), np.int64)
+    rest = {k: min(n, reserve) for k, n in histogram.items()}
+    bound, plan = float(sum(k * n for k, n in histogram.items())) / capacity, []
+    asked = np.array([histogram[int(k)] - reserve for k in lengths], np.int64)
+    left, prices = asked.copy(), lengths / capacity
     for _ in range(rounds):
         open_ = np.flatnonzero(left)
         if not len(open_):
@@ -188,7 +192,16 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rate: floa
         covered = taken * times / asked[open_]
         prices[open_] *= (1 - rate) ** covered
         plan.append((times, {int(lengths[o]): int(t) for o, t in zip(open_[used], taken[used], strict=True)}))
-    return plan + _best_fit({int(k): int(n) for k, n in zip(lengths, left, strict=True) if n}, capacity), bound
+    for k, n in zip(lengths.tolist(), left.tolist(), strict=True):
+        rest[k] += n
+    whole = plan + _best_fit(rest, capacity)
+    full = [(times, contents) for times, contents in plan if sum(k * n for k, n in contents.items()) == capacity]
+    for times, contents in plan:
+        if sum(k * n for k, n in contents.items()) < capacity:
+            for k, n in contents.items():
+                rest[k] += n * times
+    tight = full + _best_fit(rest, capacity)
+    return min(tight, whole, key=lambda p: sum(times for times, _ in p)), bound
 
 
 def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
