@@ -21,6 +21,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Labelled documents used to fit the model: those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 3000
 MIN_SHARE = 0.5
+#: Lines of a sequence that the fit takes together; longer documents are several sequences, all of which count.
+FIT_LINES = 256
 #: First feature number of each group of line features; the last is their total.
 _WORDS, _END, _SYMBOL, _BAR, _DIGIT, _AGAIN, _SEEN, _MARK, _SIZE = 0, 7, 9, 14, 17, 20, 25, 27, 30
 
@@ -110,7 +112,10 @@ def fit_crf(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """The model from at most `most` labelled documents, whose lines all take the document's quality label."""
+    """The model from at most `most` labelled documents, whose lines all take the document's quality label.
+
+    Documents of more than FIT_LINES lines are fitted as several sequences; decoding takes them whole.
+    """
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
@@ -131,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCUMENTS) -> tuple[
     width = len(line_features("", set()))
     each = [np.frombuffer(r["features"], np.uint8).reshape(-1, width) for r in rows]
     counts = np.array([len(x) for x in each], np.int64)
-    return fit_crf(np.concatenate(each) if each else np.zeros((0, width), np.uint8), counts, np.repeat(np.array([r["quality"] for r in rows], np.int64), counts))
+    parts = np.array([min(FIT_LINES, n - s) for n in counts.tolist() for s in range(0, n, FIT_LINES)], np.int64)
+    return fit_crf(np.concatenate(each) if each else np.zeros((0, width), np.uint8), parts, np.repeat(np.array([r["quality"] for r in rows], np.int64), counts))
 
 
 def repeated_words(codes: np.ndarray, distinct: int) -> int:
