@@ -169,4 +169,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: floa
     """`docs` without all but the smallest doc_id of each group of near copies. Rows without a doc_id stay."""
     groups = near_duplicate_groups(docs, words, similarity)
     gone = groups.where("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
