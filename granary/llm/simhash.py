@@ -99,19 +99,23 @@ def _mix(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def banded_fingerprints(docs: DataFrame, words: int = SHINGLE, bits: int = BAND_BITS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, bands ARRAY<LONG>): a longer SimHash, cut into bands; null for texts without words."""
+    """(doc_id, bands ARRAY<LONG>, whole BINARY): a longer SimHash of the distinct shingles, cut into bands, and their hash.
+
+    Texts without words have no bands and one hash.
+    """
     wide = -(-bits * bands // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(bits)
         for batch in chunks(batches, "text"):
-            out = []
+            out, whole = [], []
             for text in batch.column("text").to_pylist():
-                h = shingle_hashes(text or "", words)
+                h = np.unique(shingle_hashes(text or "", words))
+                whole.append(xxhash.xxh3_128_digest(h.tobytes()))
                 out.append((majority_bits(_mix(h, wide))[: bits * bands].reshape(bands, bits) @ power) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64())), pa.array(whole, pa.binary())], names=["doc_id", "bands", "whole"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, bands array<long>, whole binary")
 
 
 def _similar(words: int, least: float):
@@ -135,13 +139,13 @@ def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE, similarity: flo
     """(doc_id, component_id) for documents in a group of near copies: `similarity` or more of their shingle sets.
 
     Candidates come from ball hashing band by band: a band with all its neighbours one bit away, so that bands two
-    bits apart meet. Equal texts are one point, and so are equal bands, each with its smallest document. Candidates
-    are compared by their whole shingle sets. `doc_id` should be unique and numeric; rows without one are left out,
+    bits apart meet. Equal shingle sets are one point; equal bands link to their smallest document. Candidates are
+    compared by their whole shingle sets. `doc_id` should be unique and numeric; rows without one are left out,
     and texts without words are one group.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    printed = written(banded_fingerprints(rows, words, bits, bands).withColumn("whole", F.xxhash64(F.coalesce("bands", F.array().cast("array<long>")), F.lit(0))))
+    printed = written(banded_fingerprints(rows, words, bits, bands))
     heads = written(printed.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")))
     points = heads.where("bands IS NOT NULL").select("doc_id", F.posexplode("bands").alias("band", "value"))
     points = written(points.select("doc_id", (F.shiftleft(F.col("band").cast("long"), bits) + F.col("value")).alias("value")))

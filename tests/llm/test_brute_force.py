@@ -313,3 +313,12 @@ def test_licence_order(spark):
     assert got[1] == ("MitName AllRights CcBy4Name", 3) and got[4] == ("MitName", 1)
     assert got[2] == got[3] == ("", 0)
     assert line_dedup.MIN_CHARS == 10
+
+
+def test_near_copies_are_judged_by_distinct_shingles(spark):
+    """Padding that outweighs all else makes neither copies of strangers nor strangers of copies."""
+    texts = [" ".join(f"{p}{k}" for k in range(300)) for p in "abc"]
+    padded = [f"{t} {'- ' * 330}" for t in texts]
+    frame = spark.createDataFrame(list(enumerate([padded[0], padded[1], texts[2], padded[2], " ".join(["-"] * 330)])), "doc_id long, text string")
+    got = simhash.near_duplicate_groups(frame).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {2: 2, 3: 2}
