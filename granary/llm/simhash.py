@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, UPPER, chunks, written
+from granary.llm.common import LOWER, UPPER, chunks, discard, written
 from granary.llm.components import components
 
 _LOW = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -135,13 +135,35 @@ def _similar(words: int, least: float):
     return run
 
 
+def ball_pairs(points: DataFrame, bits: int, value: str) -> DataFrame:
+    """(x, y): all distinct values within two bits of each other, x < y. `points` has a row for each distinct value."""
+    flips = F.array(*[F.lit(k).cast("tinyint") for k in range(-1, bits)])
+    place = F.when(F.col("_flip") < 0, F.col(value)).otherwise(F.col(value).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_flip").cast("int"))))
+    sent = points.select(value, F.explode(flips).alias("_flip")).select(place.alias("_place"), "_flip")
+    met = sent.withColumn("_all", F.collect_list("_flip").over(Window.partitionBy("_place"))).where(F.size("_all") > 1)
+    back = lambda k: F.when(k < 0, F.col("_place")).otherwise(F.col("_place").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))))
+    pairs = met.select(back(F.col("_flip")).alias("x"), F.explode(F.transform("_all", back)).alias("y"))
+    return pairs.where("x < y").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
+    """The (a, b) of `pairs` whose shingle sets are similar enough."""
+    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(rows.join(used, "doc_id", "left_semi"))
+    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = written(full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), f"a {kind}, b {kind}"))
+    discard(texts)
+    return links
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, bits: int = BAND_BITS, bands: int = BANDS) -> DataFrame:
     """(doc_id, component_id) for documents in a group of near copies: `similarity` or more of their shingle sets.
 
     Candidates come from ball hashing band by band: a band with all its neighbours one bit away, so that bands two
-    bits apart meet. Equal shingle sets are one point; equal bands link to their smallest document. Candidates are
-    compared by their whole shingle sets. `doc_id` should be unique and numeric; rows without one are left out,
-    and texts without words are one group.
+    bits apart meet. Equal shingle sets are one point with its smallest document. Each document is compared with the
+    smallest ones it meets first; then all that meet and are not in one group by that are compared with one another,
+    so that no pair that meets depends on a third document. Candidates are compared by their whole shingle sets.
+    `doc_id` should be unique and numeric; rows without one are left out, and texts without words are one group.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -149,21 +171,33 @@ def near_duplicate_groups(docs: DataFrame, words: int = SHINGLE, similarity: flo
     heads = written(printed.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")))
     points = heads.where("bands IS NOT NULL").select("doc_id", F.posexplode("bands").alias("band", "value"))
     points = written(points.select("doc_id", (F.shiftleft(F.col("band").cast("long"), bits) + F.col("value")).alias("value")))
-    firsts = points.groupBy("value").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"))
-    firsts = written(firsts)
-    equal = points.join(firsts.where("n > 1"), "value").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    near = ball_links(firsts, bits, F.col("value"), "node")
-    prints = heads.select("doc_id", "bands")
-    far = F.aggregate(F.zip_with("bands_a", "bands_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = written(equal.unionByName(near).distinct())
-    pairs = pairs.join(prints.select(F.col("doc_id").alias("a"), F.col("bands").alias("bands_a")), "a").join(prints.select(F.col("doc_id").alias("b"), F.col("bands").alias("bands_b")), "b")
+    firsts = written(points.groupBy("value").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    close = written(ball_pairs(firsts, bits, "value"))
+    around = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    around = around.unionByName(firsts.where("n > 1").select(F.col("value").alias("x"), F.col("value").alias("y")))
+    hubs = around.join(firsts.select(F.col("value").alias("y"), "node"), "y").groupBy("x").agg(F.min("node").alias("hub"))
+    first = points.join(hubs, F.col("value") == F.col("x")).select(F.col("doc_id").alias("a"), F.least("doc_id", "hub").alias("b")).where("a != b")
     # the share of unlike bits at the least similarity, with four standard errors to spare; the whole sets decide
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    pairs = written(pairs.where(far <= bits * bands * p + 4 * float(np.sqrt(bits * bands * p * (1 - p)))).select("a", "b"))
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(rows.join(used, "doc_id", "left_semi"))
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = full.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words, similarity), f"a {kind}, b {kind}")
+    most = bits * bands * p + 4 * float(np.sqrt(bits * bands * p * (1 - p)))
+    near = F.aggregate(F.zip_with("bands_a", "bands_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x) <= most
+    prints_a = heads.select(F.col("doc_id").alias("a"), F.col("bands").alias("bands_a"))
+    prints_b = heads.select(F.col("doc_id").alias("b"), F.col("bands").alias("bands_b"))
+    first = written(first.distinct().join(prints_a, "a").join(prints_b, "b").where(near).select("a", "b"))
+    links = _verified(first, rows, kind, words, similarity)
+    known = written(components(links))
+    met = written(around.select(F.col("x").alias("value")).distinct())
+    placed = points.join(met, "value", "left_semi").join(known, F.col("doc_id") == F.col("node"), "left").select("value", "doc_id", F.coalesce("component", "doc_id").alias("group"))
+    placed = written(placed)
+    span = placed.groupBy("value").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    both = around.where("x <= y").join(span.select(F.col("value").alias("x"), F.col("low").alias("low_x"), F.col("high").alias("high_x")), "x")
+    both = both.join(span.select(F.col("value").alias("y"), F.col("low").alias("low_y"), F.col("high").alias("high_y")), "y")
+    unsettled = written(both.where("low_x != high_x OR low_y != high_y OR low_x != low_y").select("x", "y"))
+    left = unsettled.join(placed.select(F.col("value").alias("x"), F.col("doc_id").alias("p"), F.col("group").alias("group_p")), "x")
+    rest = left.join(placed.select(F.col("value").alias("y"), F.col("doc_id").alias("q"), F.col("group").alias("group_q")), "y").where("group_p != group_q")
+    rest = rest.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = written(rest.join(prints_a, "a").join(prints_b, "b").where(near).select("a", "b"))
+    links = links.unionByName(_verified(rest, rows, kind, words, similarity))
     head = heads.select("whole", F.col("doc_id").alias("head"))
     copies = printed.join(head, "whole").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     return components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))

@@ -322,3 +322,13 @@ def test_near_copies_are_judged_by_distinct_shingles(spark):
     frame = spark.createDataFrame(list(enumerate([padded[0], padded[1], texts[2], padded[2], " ".join(["-"] * 330)])), "doc_id long, text string")
     got = simhash.near_duplicate_groups(frame).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {2: 2, 3: 2}
+
+
+def test_near_copies_meet_past_a_hub(spark):
+    """With one short band, all meet; the smallest documents at each place are no copies of the later pairs."""
+    draw = np.random.default_rng(5)
+    texts = [[f"w{k}" for k in draw.integers(1 << 40, size=120).tolist()] for _ in range(46)]
+    texts += [[*t[:-1], "changed"] for t in texts[40:]]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = simhash.near_duplicate_groups(frame, bits=4, bands=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k // 46 * 6 for k in range(40, 52)}
