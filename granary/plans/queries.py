@@ -309,7 +309,7 @@ def group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.search(_grouped(spark, sf_dir), "grp", "image", "cls", trials=200)
+    return split.search(_grouped(spark, sf_dir), "grp", "image", "cls")
 
 
 @_query("SELECT s_nationkey, s_name, rank FROM (SELECT s_nationkey, s_name, n_regionkey AS rank, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE k = 1")

@@ -1,5 +1,7 @@
 """Every registered query of the library itself: equal to its SQL, or at least a stable table."""
 
+import inspect
+
 import pytest
 
 from granary.plans import queries as plans
@@ -23,3 +25,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(plans.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_split_search_runs_every_trial(spark, monkeypatch):
+    asked = inspect.signature(plans.split.search)
+    monkeypatch.setattr(plans.split, "search", lambda *a, **k: asked.bind(*a, **k))
+    bound = plans.queries()["split_search"](spark, SF_DIR)
+    bound.apply_defaults()
+    assert (bound.arguments["trials"], bound.arguments["seed"]) == (2000, 42)
