@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,17 +16,20 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one Python step holds at a time; a single longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's checkpoint folder.
 
-    A temporary folder is taken only where the session has none, as in local tests.
+    A temporary folder is taken only where the session has none and runs in one process, as in local tests.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="granary-"))
     return sc.getCheckpointDir()
 
 
@@ -53,6 +57,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _give_back() -> None:
+    """Hands freed memory back: a Python worker is used again, and its executor needs the memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts take about `most` bytes together, or hold one row."""
     for batch in batches:
@@ -63,6 +75,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             end = max(start + 1, int(np.searchsorted(size, before + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        _give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -84,6 +97,15 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), counts
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """`df` with columns named by position, their own names, and the schema of the renamed ones as text.
+
+    Names may hold dots or back ticks, which a schema string or a column reference would not take as they are.
+    """
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain, df.columns, ", ".join(f"{c} {t}" for c, t in plain.dtypes)
+
+
 def free_name(name: str, df: DataFrame) -> str:
     """`name`, with as many underscores before it as make it unlike all columns of `df`."""
     taken = {c.lower() for c in df.columns}

@@ -85,6 +85,30 @@ def test_plan_covers_and_bounds():
     assert packing.plan_packing({}) == ([], 0.0)
 
 
+def test_fractional_packing_covers_and_approaches_the_bound():
+    histogram = {900: 4000, 700: 3000, 600: 5000, 248: 2000, 100: 900}
+    solution, bound = packing.fractional_packing(histogram, phases=40)
+    covered = Counter()
+    for x, contents in solution:
+        assert sum(k * n for k, n in contents.items()) <= 2048
+        for k, n in contents.items():
+            covered[k] += x * n
+    assert all(covered[k] >= n * (1 - 1e-6) for k, n in histogram.items())
+    assert bound <= sum(x for x, _ in solution) <= 1.1 * bound
+    plan, least = packing.plan_packing(histogram)
+    assert sum(t for t, _ in plan) <= 1.02 * least
+
+
+def test_tokens_of_odd_words_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["x<|endoftext|>y", "<|startoftext|> Hello <|endoftext|>", "a <|ENDOFTEXT|> b<|endoftext|>", "<|endoftext|><|endoftext|>.", "Don't stop... (876) É.b naïve, x-y İstanbul e\u0301\u00a0f", "\u4f60\u597d <| endoftext |>"]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+
+
 def test_packed_sequences_round_trip(spark):
     frame = spark.createDataFrame([(1, "Hello there"), (2, None), (3, "x " * 3000), (3, "")], "doc_id long, text string")
     whole = packing.sequences(packing.pack(frame)).collect()
@@ -192,15 +216,41 @@ def test_lm_scores(spark, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    frame = spark.createDataFrame([(k, "a b a c b a") for k in range(30)], "doc_id long, text string")
-    words = ["a", "b", "c", "\n"]
-    asked = spark.createDataFrame([(100 + k, f"a b {w}") for k, w in enumerate(["a", "b", "c", "zzz"])] + [(200, "a b")], "doc_id long, text string")
+def test_lm_gains_on_held_out_texts(spark):
+    """At least a seventh of a decade a token better than the unigram base on texts that were not learned from."""
+    import pyspark.sql.functions as F
+
+    scored = language_model.lm_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    score, base, n = scored.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (score - base) / n >= 0.15
+
+
+def test_lm_probabilities_sum_to_one(spark, monkeypatch):
+    """Over all numbered words and, together, all others, in every context of a text."""
+    kept, fit = {}, language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a, **k: kept.setdefault("model", fit(*a, **k)))
+    texts = [f"a b {w} a c b {w}" for w in ("a", "b", "c", "d", "rare1", "d") for _ in range(9)] + ["once only"]
+    language_model.lm_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), head=5).collect()
+    model = kept["model"]
+    k = len(model.within)
+    assert k == 6
+    for before in ([], [1], [1, 2], [3, 5, 1], [4, 4, 4, 4]):
+        ids = np.array([[*before, w] for w in range(k)]).ravel()
+        place = np.tile(np.arange(len(before) + 1), k)
+        last = language_model.word_scores(model, ids, place)[len(before) :: len(before) + 1]
+        assert (10.0**last).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_odd_corpora(spark):
+    """One training text, none at all, and words that only scored texts have."""
     import pyspark.sql.functions as F
 
-    score = {r["doc_id"]: r["score"] for r in language_model.lm_score(frame.unionByName(asked), F.col("doc_id") >= 100).collect()}
-    assert len(words) == 4 and all(10 ** s <= 1 for s in score.values())
-    assert score[100] > score[103]  # an unknown word is less likely than a known one
+    one = language_model.lm_score(spark.createDataFrame([(1, "a b"), (2, "a z")], "doc_id long, text string"), F.col("doc_id") == 2)
+    got = {r["doc_id"]: r for r in one.collect()}
+    assert (got[1]["n_known"], got[2]["n_known"], got[1]["train_tokens"]) == (3, 2, 3)
+    assert got[1]["base_score"] == pytest.approx(3 * np.log10(2 / 7)) and got[2]["base_score"] == pytest.approx(2 * np.log10(2 / 7) + np.log10(1 / 7))
+    none = language_model.lm_score(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(True)).collect()
+    assert all((r["n_known"], r["train_tokens"], r["base_score"]) == (0, 0, 0.0) and r["score"] == pytest.approx(0) for r in none)
 
 
 def test_embeddings(spark):
@@ -233,6 +283,24 @@ def test_odd_embeddings(spark):
     assert embeddings.embedding_near_dedup(frame.where("false")).count() == 0
 
 
+def test_double_vectors_keep_their_precision(spark):
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0]), (2, at(0.95 + 1e-9)), (3, [1.0, -0.0]), (10, [1e-60, 0.0, 0.0]), (11, [1e-60, 0.0, 0.0]), (12, [0.0, 1e200, 1e199]), (13, [0.0, 2e200, 2e199]), (20, [0.0, 0.0, 1.0, 0.0]), (21, [0.0, *at(0.95 - 1e-9)[::-1], 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 10: (1, 10), 11: (1, 10), 12: (1, 12), 13: (1, 12), 20: (0, 20), 21: (0, 21)}
+
+
+def test_mixing_spreads_equal_rows(spark):
+    """Rows that are all alike are dealt over many blocks, and the target is met by each source."""
+    import pyspark.sql.functions as F
+
+    frame = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
+    rows = mixing.mix(frame, block=256)
+    assert rows.count() == 30_000
+    for r in rows.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"), F.max("taken").alias("m")).collect():
+        assert abs(r["t"] - r["target"]) <= 3 and r["m"] <= 6
+
+
 def prints(text, words=3):
     parts = WORD.findall((text or "").translate(LOW))
     shingles = [" ".join(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))] if parts else []
@@ -248,8 +316,13 @@ def test_simhash(spark, docs):
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got} == {(i, f"{fp[i]:016x}", least[i]) for i in ids}
 
 
+def shingle_sets(texts, words=5):
+    parts = {i: WORD.findall((t or "").translate(LOW)) for i, t in texts.items()}
+    return {i: {tuple(p[k : k + words]) for k in range(max(1, len(p) - words + 1))} if p else set() for i, p in parts.items()}
+
+
 def test_near_duplicate_groups(spark, docs):
-    sets = {i: frozenset(simhash.shingle_hashes(r["text"] or "", 5).tolist()) for i, r in docs.items()}
+    sets = shingle_sets({i: r["text"] for i, r in docs.items()})
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.read.parquet(f"{SF_DIR}/documents.parquet")).collect()}
     alike = lambda a, b, s: len(a & b) >= s * len(a | b) if a or b else True
     ids = sorted(sets)
@@ -259,6 +332,54 @@ def test_near_duplicate_groups(spark, docs):
     assert all(least[i] == least[c] for i, c in groups.items())
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_near_copies_among_relatives(spark, similarity):
+    """Pairs just above a similarity, each beside relatives at about 0.6 that have smaller ids: nine in ten are found at least."""
+    draw, texts, pairs = np.random.default_rng(int(100 * similarity)), {}, []
+    for _ in range(150):
+        base = [f"w{k}" for k in draw.integers(1 << 40, size=300)]
+        for _ in range(3):
+            texts[len(texts)] = [*base[:225], *(f"w{k}" for k in draw.integers(1 << 40, size=75))]
+        tail = int(300 * (1 - similarity) / (1 + similarity)) - 1  # shingles that only one side has
+        texts[len(texts)] = base
+        texts[len(texts)] = [*base[: 300 - tail], *(f"w{k}" for k in draw.integers(1 << 40, size=tail))]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    sets = shingle_sets(texts)
+    assert all(similarity <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < similarity + 0.02 for a, b in pairs)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(frame, shape=simhash.band_shape(10**6)).collect()}
+    assert np.mean([groups.get(a, a) == groups.get(b, b) for a, b in pairs]) >= 0.9
+    kin = {a: b for b, a in pairs} | dict(pairs)
+    assert all(i == c or kin.get(i) == c for i, c in groups.items())
+
+
+def test_a_large_candidate_group_is_compared_in_blocks(spark, monkeypatch):
+    """Near copies of one text in several blocks, and pairs in it that are like one another only."""
+    monkeypatch.setattr(simhash, "TASK_WORDS", 3000)
+    draw = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = {}
+    for k in range(60):
+        near = list(base)
+        near[int(draw.integers(200))] = f"x{k}"
+        texts[k] = " ".join(near)
+    for k in range(6):  # two by two, at about 0.6 to all others
+        far = base[:150] + [f"y{k}z{j}" for j in range(50)]
+        texts[100 + k], texts[200 + k] = " ".join(far), " ".join([*far[:-1], "end"])
+    sets = shingle_sets(texts)
+    want = reach(texts, [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shape=(8, 8)).collect()}
+    assert {i: got.get(i, i) for i in texts} == want and len(set(want.values())) == 7
+
+
+def test_string_ids_and_repeats(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [("b", text), ("a", text.upper()), ("c", "other words"), ("c", None), (None, text), ("d", "")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}
+
+
 def test_components(spark):
     draw = np.random.default_rng(2)
     links = [*draw.integers(0, 400, (300, 2)).tolist(), *[[k, k + 1] for k in range(1000, 1060)], [7, 7]]
@@ -330,5 +451,5 @@ def test_near_copies_meet_past_a_hub(spark):
     texts = [[f"w{k}" for k in draw.integers(1 << 40, size=120).tolist()] for _ in range(46)]
     texts += [[*t[:-1], "changed"] for t in texts[40:]]
     frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    got = simhash.near_duplicate_groups(frame, bits=4, bands=1).collect()
+    got = simhash.near_duplicate_groups(frame, shape=(4, 1)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {k: k - k // 46 * 6 for k in range(40, 52)}
