@@ -2,31 +2,33 @@
 
 Every document is tokenised and cut into pieces of at most `capacity` tokens. Only the histogram of piece lengths,
 at most `capacity` numbers whatever the corpus, reaches the driver. A covering program over it, with one variable
-for each multiset of lengths that fits a sequence, is solved by multiplicative weights: lengths carry prices, the
-best configuration under them is found by knapsack dynamic programming, taken as often as its scarcest length
-allows, and covered lengths lose price. What rounding leaves over is packed best fit, largest first. The plan maps
-ranks within a length to places in sequences, so that placing the pieces takes one shuffle of narrow rows.
+for each multiset of lengths that fits a sequence, is solved fractionally by multiplicative weights: lengths carry
+prices, the best configuration under them is found by knapsack dynamic programming and its share raised, and covered
+lengths lose price. The shares are rounded down; what that leaves over is packed best fit, largest first. The plan
+maps ranks within a length to places in sequences, so that placing the pieces takes one shuffle of narrow rows.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounds, chunks, word_codes, written
+from granary.llm.common import bounds, chunks, free_name, word_codes, written
 
 CAPACITY = 2048
-#: Groups into which each length's pieces are dealt for ranking, so that no length is ranked in one task.
-DEALS = 512
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 100_000
+#: Pieces of one length that are ranked together.
+DEAL_ROWS = 50_000
+#: Distinct words, and runs of letters, whose ids a Python worker remembers: about 50 MB.
+REMEMBERED_WORDS, REMEMBERED_RUNS = 60_000, 150_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -41,8 +43,9 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Token ids of single words; a text's ids are those of its words, since tokens never span white space.
 
-    Words of Latin letters followed by ASCII punctuation go to the vocabulary's model directly, all others through
-    the whole tokenizer. Both ways give the ids that the tokenizer gives for the whole text.
+    Words of Latin letters followed by ASCII punctuation go to the vocabulary's model directly, all others, those
+    with special tokens in them too, through the whole tokenizer. Both ways give the ids that the tokenizer gives for
+    the whole text. A worker keeps the ids of words it has met in one flat array, emptied when there are many.
     """
 
     def __init__(self, path: str):
@@ -50,30 +53,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.letters, self.memory = _byte_letters(), {}
+        self.letters = _byte_letters()
+        self.place: dict[str, int] = {}
+        self.runs: dict[str, list[int]] = {}
+        self.ids, self.edge = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
 
-    def _run(self, run: str) -> tuple[int, ...]:
-        got = self.memory.get(run)
+    def _run(self, run: str) -> list[int]:
+        got = self.runs.get(run)
         if got is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            got = self.memory[run] = tuple(t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.letters)))
+            got = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(run if run.isascii() else run.translate(self.letters))]
         return got
 
-    def encode(self, words: list[str]) -> list[tuple[int, ...]]:
+    def _encoded(self, words: list[str]) -> list[list[int]]:
         out: list = [None] * len(words)
-        others = []
+        others, run_ids = [], self._run
         for k, word in enumerate(words):
-            if m := _PLAIN.fullmatch(word):
+            run = word.rstrip(string.punctuation)
+            if run.isascii() and run.isalpha():
+                out[k] = run_ids(run.lower()) if len(run) == len(word) else run_ids(run.lower()) + run_ids(word[len(run) :])
+            elif m := _PLAIN.fullmatch(word):
                 run, marks = m.groups()
-                out[k] = (self._run(run.lower()) if run else ()) + (self._run(marks) if marks else ())
+                out[k] = (run_ids(run.lower()) if run else []) + (run_ids(marks) if marks else [])
             else:
                 others.append(k)
         for k, e in zip(others, self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False), strict=True):
-            out[k] = tuple(e.ids)
+            out[k] = e.ids
         return out
 
+    def places(self, words: list[str]) -> np.ndarray:
+        """The number of each of these distinct words: word k has ids[edge[k]:edge[k + 1]]."""
+        if len(self.place) > REMEMBERED_WORDS:
+            self.place, self.ids, self.edge = {}, np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
+        if len(self.runs) > REMEMBERED_RUNS:
+            self.runs = {}
+        found = list(map(self.place.get, words))
+        new = [w for w, k in zip(words, found, strict=True) if k is None]
+        if new:
+            known = self._encoded(new)
+            n, size = len(self.place), np.fromiter(map(len, known), np.int64, len(new))
+            end = self.edge[n] + np.cumsum(size)
+            while len(self.edge) < n + len(new) + 1:
+                self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
+            while len(self.ids) < end[-1]:
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.edge[n] : end[-1]] = np.fromiter(chain.from_iterable(known), np.uint32, int(size.sum()))
+            self.edge[n + 1 : n + 1 + len(new)] = end
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+            found = list(map(self.place.__getitem__, words))
+        return np.array(found, np.int64)
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
@@ -95,13 +123,12 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary or default_vocabulary())
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             codes, words, counts = word_codes(batch.column("text"))
-            ids = encoder.encode(words)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            size = np.append(size, 1)
-            first = bounds(size)[:-1].astype(np.int32)
-            flat = np.fromiter((i for w in (*ids, (0,)) for i in w), np.uint32, int(size.sum()))
+            number = encoder.places(words)
+            flat = np.append(encoder.ids[: encoder.edge[len(encoder.place)]], np.uint32(0))
+            size = np.append(encoder.edge[number + 1] - encoder.edge[number], 1)
+            first = np.append(encoder.edge[number], len(flat) - 1).astype(np.int32)
             ends = np.cumsum(counts) + np.arange(len(counts))
             full = np.full(len(codes) + len(counts), len(words), np.int32)
             inner = np.ones(len(full), bool)
@@ -126,82 +153,84 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int =
     return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids binary")
 
 
-def _knapsack(prices: np.ndarray) -> tuple[float, np.ndarray]:
-    """The greatest price of lengths that fit together, and how often each is taken (any number of times).
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The greatest price of lengths (ascending) that fit together, and how often each is taken (any number of times).
 
-    prices[l] is the price of length l, minus infinity for lengths that are not to be had; prices[0] is unused.
+    Rooms are filled in runs no longer than the least length, which depend on earlier runs only.
     """
-    capacity = len(prices) - 1
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    best_back = best[::-1]  # so that what is left beside lengths 1, 2, ... is a plain slice
-    for room in range(1, capacity + 1):
-        value = best_back[capacity - room + 1 :] + prices[1 : room + 1]
-        k = int(value.argmax())
-        if value[k] > best[room - 1]:
-            best[room], last[room] = value[k], k + 1
-        else:
-            best[room] = best[room - 1]
-    taken, room = np.zeros(capacity + 1, np.int64), capacity
-    while room > 0:
+    last, run = np.full(capacity + 1, -1), int(lengths[0])
+    best = np.concatenate([np.full(capacity, -np.inf), np.zeros(capacity + 1)])  # rooms below 0 can't be had
+    for start in range(run, capacity + 1, run):
+        rooms = np.arange(start, min(start + run, capacity + 1))
+        value = best[(rooms + capacity)[:, None] - lengths] + prices
+        k = value.argmax(1)
+        best[rooms + capacity], last[rooms] = value[np.arange(len(rooms)), k], k
+    taken, room = np.zeros(len(lengths), np.int64), capacity
+    while room >= run:
         k = last[room]
-        if k < 0:
-            room -= 1
-            continue
         taken[k] += 1
-        room -= int(k)
-    return float(best[capacity]), taken
+        room -= int(lengths[k])
+    return float(best[-1]), taken
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.3, rounds: int = 4000, reserve: int = 2) -> tuple[list[tuple[int, dict[int, int]]], float]:
-    """([(number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
+def fractional_packing(histogram: dict[int, int], capacity: int = CAPACITY, phases: int = 3, rate: float = 2.0) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """([(fractional number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
 
-    The bound is the best value of the prices as a solution of the dual program. Prices start in proportion to
-    length and fall with the share of a length that is covered. `reserve` pieces of each length stay out of the
-    program, so that rounding has small pieces for its gaps. What the program left over is packed best fit, either
-    with the configurations that leave room taken apart again or not: the fewer sequences win. The plan covers the
-    histogram exactly.
+    Multiplicative weights on the covering program: a length's price is in proportion to it and falls with
+    exp(-rate * coverage), where coverage is the share of its pieces that the solution so far takes in. Each step
+    takes the best configuration under the prices often enough to raise the coverage of its scarcest length by
+    1 / phases, so that the solution is an average over that many passes; lengths that are covered leave the program.
+    In the end every length is covered at least once. The bound is the best value of prices as a dual solution.
     """
-    histogram = {k: n for k, n in histogram.items() if n > 0}
-    lengths = np.array(sorted(k for k, n in histogram.items() if n > reserve), np.int64)
-    rest = {k: min(n, reserve) for k, n in histogram.items()}
-    bound, plan = float(sum(k * n for k, n in histogram.items())) / capacity, []
-    asked = np.array([histogram[int(k)] - reserve for k in lengths], np.int64)
-    left, prices = asked.copy(), lengths / capacity
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left)
+    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), np.int64)
+    asked = np.array([histogram[int(k)] for k in lengths], float)
+    covered, solution = np.zeros(len(lengths)), {}
+    bound = float((lengths * asked).sum()) / capacity
+    while True:
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
         if not len(open_):
-            break
-        dense = np.full(capacity + 1, -np.inf)
-        dense[lengths[open_]] = prices[open_]
-        value, taken = _knapsack(dense)
-        taken = taken[lengths[open_]]
+            return [(x, dict(c)) for c, x in solution.items()], bound
+        prices = lengths[open_] / capacity * np.exp(-rate * covered[open_])
+        value, taken = _knapsack(lengths[open_], prices, capacity)
         if len(open_) == len(lengths):
             bound = max(bound, float((prices * asked).sum()) / value)
-        taken = np.minimum(taken, left[open_])
-        room = capacity - int((taken * lengths[open_]).sum())
-        for k in range(len(open_) - 1, -1, -1):  # what scarce lengths left free is filled largest first
-            if room < lengths[open_[0]]:
-                break
-            more = min(room // int(lengths[open_[k]]), int(left[open_[k]] - taken[k]))
-            if more > 0:
-                taken[k] += more
-                room -= more * int(lengths[open_[k]])
-        used = taken > 0
-        times = int((left[open_][used] // taken[used]).min())
-        left[open_] -= taken * times
-        covered = taken * times / asked[open_]
-        prices[open_] *= (1 - rate) ** covered
-        plan.append((times, {int(lengths[o]): int(t) for o, t in zip(open_[used], taken[used], strict=True)}))
-    for k, n in zip(lengths.tolist(), left.tolist(), strict=True):
-        rest[k] += n
-    whole = plan + _best_fit(rest, capacity)
+        used = open_[taken > 0]
+        each = np.minimum(taken[taken > 0], np.ceil(asked[used])).astype(np.int64)
+        step = float((asked[used] / each).min()) / phases
+        covered[used] += each * step / asked[used]
+        name = tuple(zip(lengths[used].tolist(), each.tolist(), strict=True))
+        solution[name] = solution.get(name, 0.0) + step
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, reserve: int = 16, least: int = 32, most: int = 256) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """([(number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
+
+    The configuration program is solved fractionally for the `most` lengths with the most tokens among those of `least`
+    tokens and many pieces; shorter and rarer ones suit the gaps. Each configuration is rounded down, and what that
+    leaves over, `reserve` pieces of each length among it, is packed best fit, either with the
+    configurations that leave room taken apart again or not: the fewest sequences win, plain best fit included. The
+    plan covers the histogram exactly.
+    """
+    histogram = {k: n for k, n in histogram.items() if n > 0}
+    total, left = float(sum(k * n for k, n in histogram.items())) / capacity, dict(histogram)
+    common = {k: n - reserve for k, n in histogram.items() if n > 2 * reserve and k >= least}
+    common = {k: common[k] for k in sorted(common, key=lambda k: (-k * common[k], k))[:most]}
+    solution, part = fractional_packing(common, capacity, max(3, 1200 // max(1, len(common))))
+    plan = []
+    for x, contents in sorted(solution, key=lambda s: (-s[0], sorted(s[1].items()))):
+        times = min([int(x), *((left[k] - reserve) // n for k, n in contents.items())])
+        if times > 0:
+            plan.append((times, contents))
+            for k, n in contents.items():
+                left[k] -= n * times
+    whole = plan + _best_fit(left, capacity)
     full = [(times, contents) for times, contents in plan if sum(k * n for k, n in contents.items()) == capacity]
     for times, contents in plan:
         if sum(k * n for k, n in contents.items()) < capacity:
             for k, n in contents.items():
-                rest[k] += n * times
-    tight = full + _best_fit(rest, capacity)
-    return min(tight, whole, key=lambda p: sum(times for times, _ in p)), bound
+                left[k] += n * times
+    plans = [whole, full + _best_fit(left, capacity), _best_fit(histogram, capacity)]
+    return min(plans, key=lambda p: sum(times for times, _ in p)), max(total, part)
 
 
 def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -228,16 +257,19 @@ def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[
     return [(n, contents) for _, n, contents in groups]
 
 
-def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, deals: int = DEALS) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, deal_rows: int = DEAL_ROWS) -> DataFrame:
     """`pieces` (doc_id, piece, length and any others) with sequence_id and offset.
 
-    `pieces` is read three times, so it should be a stored table. Equal rows get places of their own. An empty
-    table stays empty. The plan has at most some thousand rows for a capacity of 2048, whatever the corpus; it is
-    joined by length and rank inside a small Arrow step.
+    The pieces are stored first, each with a number of its own, since they are read three times; a length's pieces
+    are dealt by it into groups of about `deal_rows`, so that equal rows spread as well and get places of their own.
+    An empty table stays empty. The plan has at most some thousand rows for a capacity of 2048, whatever the corpus;
+    it is joined by length and rank inside a small Arrow step.
     """
-    deal = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(deals)).cast("int")
+    names, number = pieces.columns, free_name("_number", pieces)
+    pieces = written(pieces.withColumn(number, F.xxhash64(F.monotonically_increasing_id())))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    deal = F.pmod(number, F.lit(-(-max(histogram.values(), default=1) // deal_rows))).cast("int")
     counted = pieces.groupBy("length", deal.alias("deal")).agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_packing(histogram, capacity)
     ranks: dict[int, list] = {}
     sequence, upto = 0, dict.fromkeys(histogram, 0)
@@ -264,13 +296,12 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, deals: int = DEALS
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence_id), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    names = pieces.columns
     before = Window.partitionBy("length").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "deal").orderBy("doc_id", "piece")
     ranked = pieces.withColumn("deal", deal).withColumn("rank", F.row_number().over(inside) - 1).join(starts, ["length", "deal"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).select(*names, "rank")
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes if c != number)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
@@ -278,9 +309,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for every piece of `docs`.
 
     With `with_ids` the token ids themselves go along; else only their checksum does, which keeps the shuffle narrow.
+    Null and empty texts are one piece of the ending alone, very long ones are cut whole, repeated rows are packed one
+    by one, rows without a doc_id like others, an empty table gives an empty result; other columns are not read.
     """
     pieces = token_pieces(docs, vocabulary, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    return place_pieces(written(pieces if with_ids else pieces.drop("ids")), capacity)
+    return place_pieces(pieces if with_ids else pieces.drop("ids"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
