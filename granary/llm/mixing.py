@@ -89,7 +89,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(rows: DataFrame, last: bool, level: int, seed: int) -> DataFrame:
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "nth"], kind="stable").reset_index(drop=True)
         key = f"{seed}/{level}/{pdf['source'][0]}/{pdf['block'][0]}"
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["p"].to_numpy(float), size, zlib.crc32(key.encode()))
@@ -103,14 +103,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     Size is the number of words. times is at most `limit` rounded up, taken = times * size. A source's taken words
     differ from its target by less than its largest document, whatever the number of blocks. A source without words
-    is not taken. Reruns agree; rows of one doc_id are told apart by size only, and any of equal ones may be taken.
+    is not taken. Reruns agree, whatever the partitions: rows of one doc_id, source and size are told apart by a running
+    number, by which they spread over blocks like others. Null texts have size 0, null sources are one source, null
+    ids are ids like others; an empty table gives an empty result, and other columns are not read. Sources are listed
+    in one task once they are summed up, so they should be labels of the corpus, not as many as its documents.
     """
-    sized = written(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source"))
+    sized = docs.select("doc_id", word_count(F.col("text")).alias("size"), "source").groupBy("doc_id", "size", "source").agg(F.count("*").alias("n"))
+    sized = sized.withColumn("nth", F.lit(0).cast("long"))
+    for step in (1 << 40, 1 << 20, 1):  # equal rows one by one again, from short runs of numbers
+        sized = sized.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+        sized = sized.withColumns({"n": F.least(F.col("n") - F.col("at"), F.lit(step).cast("long")), "nth": F.col("nth") + F.col("at")})
+    sized = written(sized.select("doc_id", "size", "source", "nth"))
     targets = written(source_targets(sized, weights, share, limit).coalesce(1))
     known = targets.select(F.col("source").alias("_s"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long").alias("blocks"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(known, sized["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = rows.withColumns({"base": F.floor(rate + _EPS).cast("long"), "block": F.pmod(F.xxhash64("doc_id", "size"), "blocks")})
+    rows = rows.withColumns({"base": F.floor(rate + _EPS).cast("long"), "block": F.pmod(F.xxhash64("doc_id", "size", "nth"), "blocks")})
     rows = rows.withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
     most, level, settled = targets.agg(F.max("n_docs")).first()[0] or 0, 0, None
     blocks = -(-most // block)

@@ -58,11 +58,16 @@ def lexical_features(urls: DataFrame) -> DataFrame:
     )
 
 
-def _with_statistics(rows: DataFrame, labelled: DataFrame, prior: float) -> DataFrame:
-    """Adds the smoothed share of blocked urls, and the number of labelled ones, of each host suffix."""
+def _with_statistics(rows: DataFrame, labelled: DataFrame, prior: float, own: bool = False) -> DataFrame:
+    """Adds the smoothed share of blocked urls, and the number of labelled ones, of each host suffix.
+
+    With `own`, `rows` are the labelled ones, and each is left out of what it is told.
+    """
+    less, one = (F.col("y"), 1) if own else (F.lit(0), 0)
     for k in ("suffix1", "suffix2"):
-        stats = labelled.groupBy(k).agg(((F.sum("y") + 10 * prior) / (F.count("*") + 10)).alias(f"f_{k}"), F.log2(F.count("*") + 1.0).alias(f"f_{k}_n"))
-        rows = rows.join(stats, k, "left").fillna({f"f_{k}": prior, f"f_{k}_n": 0.0})
+        rows = rows.join(labelled.groupBy(k).agg(F.sum("y").alias("_y"), F.count("*").alias("_n")), k, "left")
+        n = F.coalesce(F.col("_n") - one, F.lit(0))
+        rows = rows.withColumns({f"f_{k}": (F.coalesce(F.col("_y") - less, F.lit(0)) + 10 * prior) / (n + 10), f"f_{k}_n": F.log2(n + 1.0)}).drop("_y", "_n")
     return rows
 
 
@@ -85,7 +90,7 @@ def fit_trees(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float =
     cuts = labelled.select(*[F.percentile_approx(f, [k / BINS for k in range(1, BINS)], 1000).alias(f) for f in FEATURES]).first().asDict()
     cuts = {f: sorted(set(v)) for f, v in cuts.items()}
     binned = {f: F.lit(sum((F.when(F.col(f) > c, 1).otherwise(0) for c in v), F.lit(0))).alias(f) for f, v in cuts.items()}
-    table = written(labelled.select("y", *binned.values()).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")).coalesce(4))
+    table = written(labelled.select("y", *binned.values()).groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")))
     table = table.withColumn("margin", F.lit(start))
     grown: list[dict] = []
     for _ in range(trees):
@@ -144,7 +149,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page
     rows = written(rows)
     labelled = rows.where("given IS NOT NULL").withColumn("y", (F.col("given") == "block").cast("int"))
     prior = labelled.agg(F.avg("y")).first()[0] or 0.0
-    start, trees = fit_trees(_with_statistics(labelled, labelled, prior))
+    start, trees = fit_trees(_with_statistics(labelled, labelled, prior, own=True))
     score = sum((_leaf(t, lambda x: F.lit(x["value"])) for t in trees), F.lit(start))
     scored = _with_statistics(rows, labelled, prior).withColumn("score", score)
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
