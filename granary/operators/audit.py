@@ -35,6 +35,25 @@ def size_histogram(images: DataFrame, size: str = "size") -> DataFrame:
     return images.groupBy(size).agg(F.count("*").alias("images"))
 
 
+def filled_balance(balance: DataFrame, splits: list[str], classes: list, split: str, cls: str) -> DataFrame:
+    """`class_balance` with a row of zeros for each split and class that has none."""
+    spark = balance.sparkSession
+    grid = spark.createDataFrame([(s,) for s in splits], f"{split} string").crossJoin(spark.createDataFrame([(c,) for c in classes], f"{cls} {dict(balance.dtypes)[cls]}"))
+    return grid.join(balance, [split, cls], "left").fillna(0, ["instances", "images"])
+
+
+def missing_names(images: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """(side, key): what the report lists, images without a label file and label files without an image."""
+    return missing(images, files, key).withColumn("side", F.lit("label")).unionByName(missing(files, images, key).withColumn("side", F.lit("image"))).select("side", key)
+
+
+def label_states(images: DataFrame, files: DataFrame, instances: DataFrame, key: str) -> DataFrame:
+    """(state, images): images whose label file is missing, is empty, or has instances."""
+    state = F.when(F.col("_file").isNull(), "missing").when(F.col("_n").isNull(), "empty").otherwise("labelled")
+    marked = images.select(key).join(files.select(key).distinct().withColumn("_file", F.lit(True)), key, "left").join(instances.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    return marked.groupBy(state.alias("state")).agg(F.count("*").alias("images"))
+
+
 def audit(images: DataFrame, files: DataFrame, instances: DataFrame, key: str, split: str, cls: str) -> dict[str, DataFrame]:
     """The whole report as tables: the parts stay distributed until they are shown."""
-    return {"missing_labels": missing(images, files, key), "missing_images": missing(files, images, key), "classes": class_balance(instances, split, cls, key), "objects": objects_histogram(instances, key), "totals": totals(images, instances, key)}
+    return {"missing": missing_names(images, files, key), "states": label_states(images, files, instances, key), "classes": class_balance(instances, split, cls, key), "objects": objects_histogram(instances, key), "totals": totals(images, instances, key)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,13 +30,18 @@ def dropped(samples: DataFrame, digest: str, split: str, path: str, preferred: s
 
 
 def output_names(samples: DataFrame, name: str, digest: str, order: list[str]) -> DataFrame:
-    """Adds output_name: the first sample of a name keeps it, others add ten digits of their hash, and a number if needed."""
+    """Adds output_name: the first sample of a name keeps it, others add ten digits of their hash, and a number if needed.
+
+    The ending of a new name is lower-cased. A new name that another sample's own name takes gets a number as well.
+    Names are partitioned by name and hash, so that a hot name is split by its contents.
+    """
     first = samples.groupBy(name).agg(F.min(F.struct(*order)).alias("_first"))
-    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     short = F.substring(digest, 1, 10)
     marked = samples.join(first, name).withColumn("_own", F.struct(*order) == F.col("_first"))
-    again = marked.where("NOT _own").groupBy(F.col(name).alias("_n"), short.alias("_h")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_same"))
-    marked = marked.join(again, (F.col(name) == F.col("_n")) & (short == F.col("_h")) & ~F.col("_own"), "left")
-    place = F.array_position("_same", F.struct(*order))
-    new = F.concat(stem, F.lit("_"), short, F.when(place > 1, F.concat(F.lit("_"), (place - 1).cast("string"))).otherwise(""), ending)
-    return marked.withColumn("output_name", F.when(F.col("_own"), F.col(name)).otherwise(new)).drop("_first", "_own", "_n", "_h", "_same")
+    plain = F.concat(stem, F.lit("_"), short, ending)
+    taken = first.select(F.col(name).alias("_plain"), F.lit(1).alias("_taken"))
+    marked = marked.withColumn("_plain", plain).join(taken, "_plain", "left")
+    place = F.row_number().over(Window.partitionBy(name, short, "_own").orderBy(*order)) - 1 + F.coalesce("_taken", F.lit(0))
+    new = F.concat(stem, F.lit("_"), short, F.when(place > 0, F.concat(F.lit("_"), place.cast("string"))).otherwise(""), ending)
+    return marked.withColumn("output_name", F.when(F.col("_own"), F.col(name)).otherwise(new)).drop("_first", "_own", "_plain", "_taken")

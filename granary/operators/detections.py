@@ -29,13 +29,17 @@ def counts_raw_and_effective(detections: DataFrame, key: str, cls: str, area: st
     return detections.groupBy(key, F.coalesce(cls, F.lit("unknown")).alias(cls)).agg(F.count("*").alias("raw_count"), F.count_if(F.col(area) >= least).alias("effective_count"))
 
 
-def low_confidence_retry(detections: DataFrame, key: str, cls: str, conf: str, target: str, user: float, floor: float) -> DataFrame:
-    """Detections at `user` confidence; images that have no `target` there take theirs at `floor` as well."""
+def low_confidence_retry(detections: DataFrame, key: str, cls: str, conf: str, target: str, user: float, floor: float, tiled: Column | None = None, above: float = 0.10) -> DataFrame:
+    """Detections at `user` confidence; images that have no `target` there take theirs at `floor` as well.
+
+    There is no second look where the user asks for `above` or less, nor at images that are `tiled`.
+    """
     at_user = F.lower(cls) == target.lower()
     has = detections.groupBy(key).agg(F.bool_or(at_user & (F.col(conf) >= user)).alias("_has"))
     marked = detections.join(has, key)
-    keep = (F.col(conf) >= user) | (~F.col("_has") & at_user & (F.col(conf) >= floor))
-    return marked.where(keep).withColumn("retried", ~F.col("_has")).drop("_has")
+    again = ~F.col("_has") & F.lit(user > above) & ~(F.lit(False) if tiled is None else tiled)
+    keep = (F.col(conf) >= user) | (again & at_user & (F.col(conf) >= floor))
+    return marked.where(keep).withColumn("retried", again).drop("_has")
 
 
 def number_instances(detections: DataFrame, key: str, cls: str, order: list[str], first: str, without: list[str]) -> DataFrame:
@@ -63,9 +67,10 @@ def to_image(detections: DataFrame) -> DataFrame:
     return detections
 
 
-def merge_tiles(whole: DataFrame, tiled: DataFrame, cls: str, allowed: list[str]) -> DataFrame:
-    """Full-frame detections of all classes with tile detections of the allowed ones."""
-    return whole.unionByName(tiled.where(F.lower(cls).isin([a.lower() for a in allowed])), allowMissingColumns=True)
+def merge_tiles(whole: DataFrame, tiled: DataFrame, cls: str, allowed: list[str], key: str = "image", iou: float = 0.3) -> DataFrame:
+    """Full-frame detections of all classes with tile detections of the allowed ones, without what overlaps in a class."""
+    both = whole.unionByName(tiled.where(F.lower(cls).isin([a.lower() for a in allowed])), allowMissingColumns=True)
+    return class_nms(both, [key, cls], iou)
 
 
 def suppress(boxes: np.ndarray, conf: np.ndarray, iou: float) -> np.ndarray:

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import geometry, text
-from granary.operators import audit, balance, counts, dedupe, detections, latency, skeleton, split
-from granary.sources import labels
+from granary.operators import audit, balance, counts, dedupe, detections, latency, samples, skeleton, split
+from granary.sources import labels, reports
 
 CLASSES = ["A", "N", "R"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,10 +78,10 @@ def count_error_image_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_metric(counts.image_totals(_errors(spark, sf_dir), "image"))
 
 
-@_query(f"{_GRID} SELECT 'class' AS row_type, image, class_name, gt_count, pred_count, error, abs_error, squared_error, exact FROM errors UNION ALL SELECT 'image_total', image, 'overall', gt_count, pred_count, error, abs_error, squared_error, exact FROM total_errors")
+@_query(f"{_GRID} SELECT 'class' AS row_type, image, class_name, gt_count, pred_count, error, abs_error, squared_error, exact FROM errors UNION ALL SELECT 'total', image, 'overall', gt_count, pred_count, error, abs_error, squared_error, exact FROM total_errors")
 def count_errors_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = _errors(spark, sf_dir)
-    total = counts.image_totals(errors, "image").withColumns({"row_type": F.lit("image_total"), "class_name": F.lit("overall")})
+    total = counts.image_totals(errors, "image").withColumns({"row_type": F.lit("total"), "class_name": F.lit("overall")})
     return errors.withColumn("row_type", F.lit("class")).unionByName(total).select("row_type", "image", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact")
 
 
@@ -312,10 +312,11 @@ def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.search(_grouped(spark, sf_dir), "grp", "image", "cls")
 
 
-@_query("SELECT s_nationkey, s_name, rank FROM (SELECT s_nationkey, s_name, n_regionkey AS rank, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE k = 1")
+@_query("SELECT folder, name, rank FROM (SELECT n_name AS folder, s_name AS name, n_regionkey AS rank, row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3) WHERE k = 1")
 def model_registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_name").alias("s_name"))
-    return first.join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_nationkey", "s_name", F.col("n_regionkey").alias("rank")).orderBy("rank", F.lower("s_name"))
+    nations = _t(spark, sf_dir, "nation")
+    files = _t(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("folder"), F.col("s_name").alias("name"))
+    return reports.visible_models(files, {r["n_name"]: r["n_regionkey"] for r in nations.where("n_regionkey < 3").collect()}).select("folder", "name", "rank")
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -339,3 +340,85 @@ def point_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("c_mktsegment", F.lit(".rf."), "c_custkey", F.lit(".jpg"))
     return _t(spark, sf_dir, "customer").groupBy(labels.source_group(name).alias("source_group")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT 'train' AS split, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'val', s_suppkey, s_name FROM supplier UNION ALL SELECT 'test', n_nationkey, n_name FROM nation")
+def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda table, key, name: _t(spark, sf_dir, table).select(F.col(key).cast("long").alias("id"), F.col(name).alias("name"))
+    return samples.union_splits({"train": part("customer", "c_custkey", "c_name"), "val": part("supplier", "s_suppkey", "s_name"), "test": part("nation", "n_nationkey", "n_name")}).select("split", "id", "name")
+
+
+@_query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def collected_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return samples.collect_samples(_t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), files, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "o_orderstatus")
+
+
+@_query("SELECT class_name, count(*) AS n FROM (SELECT coalesce(n_name, c_nationkey::VARCHAR) AS class_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey) GROUP BY 1")
+def class_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("class_name"))
+    return samples.named(_t(spark, sf_dir, "customer"), names, "c_nationkey", "class_name").groupBy("class_name").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, coalesce(sum(n) FILTER (lower(l_returnflag) = 'a'), 0)::BIGINT AS n FROM (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def class_count_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"))
+    return samples.class_count(per, "l_orderkey", "l_returnflag", "n", "a", "l_returnflag")
+
+
+@_query("SELECT c_custkey, e.ending FROM customer LEFT JOIN (SELECT l_suppkey AS c_custkey, min_by(ending, k) AS ending FROM (SELECT DISTINCT l_suppkey, CASE l_returnflag WHEN 'A' THEN '.PNG' WHEN 'N' THEN '.jpg' ELSE '.gif' END AS ending, CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1 END AS k FROM lineitem WHERE l_returnflag IN ('A', 'N')) GROUP BY 1) e USING (c_custkey)")
+def label_image_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.when(F.col("l_returnflag") == "A", ".PNG").when(F.col("l_returnflag") == "N", ".jpg").otherwise(".gif")
+    images = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("c_custkey"), ending.alias("ending"))
+    return samples.label_images(_t(spark, sf_dir, "customer").select("c_custkey"), images, "c_custkey", "ending", [".jpg", ".png"])
+
+
+@_query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20")
+def first_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.struct("p_name", "p_partkey").alias("path"))
+    return samples.first_by_path(rows, "path").select("p_partkey", "p_name")
+
+
+@_query("SELECT page_id, sha1(html) AS digest, round(page_id / 7.0, 6) AS conf, page_id % 2 = 0 AS preprocess FROM pages")
+def inference_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = samples.cache_key(F.col("html"), F.lit("m"), F.col("page_id") / 7.0, F.lit(0.7), F.lit(1024), F.col("page_id") % 2 == 0)
+    return _t(spark, sf_dir, "pages").select("page_id", key.alias("key")).select("page_id", "key.digest", "key.conf", "key.preprocess")
+
+
+@_query("SELECT CASE WHEN r.o_orderkey IS NULL THEN 'image' ELSE 'label' END AS side, coalesce(r.o_orderkey, f.l_orderkey) AS image FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 > 0) r FULL JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 7 > 0) f ON o_orderkey = l_orderkey WHERE r.o_orderkey IS NULL OR f.l_orderkey IS NULL")
+def audit_missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _t(spark, sf_dir, "orders").where("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("image"))
+    files = _t(spark, sf_dir, "lineitem").where("l_orderkey % 7 > 0").select(F.col("l_orderkey").alias("image"))
+    return audit.audit(images, files.distinct(), files.withColumns({"split": F.lit("a"), "cls": F.lit("b")}), "image", "split", "cls")["missing"]
+
+
+@_query("SELECT CASE WHEN l.k IS NULL THEN 'missing' WHEN i.k IS NULL THEN 'empty' ELSE 'labelled' END AS state, count(*) AS images FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 7 > 0) l ON o_orderkey = l.k LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 7 > 0 AND l_returnflag = 'R') i ON o_orderkey = i.k GROUP BY 1")
+def audit_label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _t(spark, sf_dir, "lineitem").where("l_orderkey % 7 > 0").select(F.col("l_orderkey").alias("image"), "l_returnflag")
+    return audit.label_states(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")), files, files.where("l_returnflag = 'R'"), "image")
+
+
+@_query("SELECT o.split, c.cls, count(l_orderkey) AS instances, count(DISTINCT l_orderkey) AS images FROM (VALUES ('F'), ('O'), ('X')) o(split) CROSS JOIN (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON o_orderstatus = o.split AND l_returnflag = c.cls GROUP BY 1, 2")
+def audit_filled_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("split"), F.col("l_returnflag").alias("cls"), F.col("l_orderkey").alias("image"))
+    return audit.filled_balance(audit.class_balance(rows, "split", "cls", "image"), ["F", "O", "X"], ["A", "R", "Z"], "split", "cls")
+
+
+def _balanced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"))
+    images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderstatus").alias("split"), F.concat("o_orderkey", F.lit(".a.JPG")).alias("file_name"))
+    return balance.balanced(images, lines, "image", "cls", ["R"], ["F"]), lines
+
+
+_COPIES = "WITH c AS (SELECT o_orderkey AS image, o_orderstatus AS split, unnest(range(CASE WHEN o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 4 ELSE 1 END)) AS k FROM orders)"
+
+
+@_query(f"{_COPIES} SELECT image, split, image || '.a' || CASE WHEN k > 0 THEN '_bal' || k ELSE '' END || '.JPG' AS output_name FROM c")
+def balanced_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _balanced(spark, sf_dir)[0].select("image", "split", "output_name")
+
+
+@_query(f"{_COPIES} SELECT split, l_returnflag AS cls, count(*) AS instances FROM c JOIN lineitem ON l_orderkey = image GROUP BY 1, 2")
+def balanced_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies, lines = _balanced(spark, sf_dir)
+    return balance.counts_after(copies, lines, "image", "cls")

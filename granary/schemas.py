@@ -1,16 +1,4 @@
-"""Table schemas of the engine, stated rather than inferred."""
+"""Column orders that files of the engine have."""
 
-from pyspark.sql import types as T
-
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("x1", "y1", "x2", "y2")])
-
-IMAGES = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("image_id", "path", "file_name", "split", "group_id", "image_hash")]
-    + [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("content", T.BinaryType())]
-)
-ANNOTATIONS = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("line_no", T.IntegerType()), T.StructField("class_id", T.IntegerType()), T.StructField("class_token", T.StringType()), T.StructField("polygon", T.ArrayType(POINT)), T.StructField("error", T.StringType())])
-DETECTIONS = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("det_idx", T.IntegerType()), T.StructField("class_id", T.IntegerType()), T.StructField("class_name", T.StringType()), T.StructField("conf", T.DoubleType()), T.StructField("bbox", BOX), T.StructField("mask_h", T.IntegerType()), T.StructField("mask_w", T.IntegerType()), T.StructField("mask", T.BinaryType())])
-#: Column order of the count-error table and its CSV file.
+#: Columns of the count-error table and its CSV file, in order.
 COUNT_ERRORS = ["row_type", "image", "image_path", "class_id", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact", "inference_ms", "end_to_end_ms"]
-EPOCHS = T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("time", T.DoubleType())])

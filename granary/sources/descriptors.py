@@ -6,7 +6,7 @@ import re
 from pathlib import PurePosixPath
 
 #: Split names that mean the same.
-SPLITS = {"train": "train", "val": "val", "valid": "val", "validation": "val", "test": "test"}
+SPLITS = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 
 
 def normal_split(name: str) -> str:
@@ -26,7 +26,7 @@ def read_descriptor(text: str) -> dict:
 
 
 def plain_descriptor(text: str) -> dict:
-    """`key: value` lines with inline lists; digits become numbers, quotes go, everything else is text."""
+    """`key: value` lines with inline lists; a comment starts at a # after white space; digits become numbers, quotes go, everything else is text."""
 
     def value(raw: str):
         raw = raw.strip()
@@ -35,7 +35,7 @@ def plain_descriptor(text: str) -> dict:
         bare = raw.strip("'\"")
         return int(bare) if re.fullmatch(r"[0-9]+", bare) else bare
 
-    rows = (line.split("#", 1)[0].partition(":") for line in text.splitlines())
+    rows = (re.sub(r"(^|\s)#.*", "", line).partition(":") for line in text.splitlines())
     return {k.strip(): value(v) for k, colon, v in rows if colon and k.strip()}
 
 

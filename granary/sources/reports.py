@@ -43,7 +43,7 @@ def finite(c: Column) -> Column:
 
 def write_count_errors(rows: DataFrame, path: str) -> None:
     """The count-error table as CSV, in its fixed column order; total rows show `overall` as their class."""
-    shown = rows.withColumn("class_id", F.when(F.col("row_type") == "image_total", "overall").otherwise(F.col("class_id").cast("string")))
+    shown = rows.withColumn("class_id", F.when(F.col("row_type") == "total", "overall").otherwise(F.col("class_id").cast("string")))
     shown.select(COUNT_ERRORS).write.mode("overwrite").csv(path, header=True)
 
 
