@@ -97,15 +97,6 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), counts
 
 
-def renamed(df: DataFrame) -> tuple[DataFrame, list[str], str]:
-    """`df` with columns named by position, their own names, and the schema of the renamed ones as text.
-
-    Names may hold dots or back ticks, which a schema string or a column reference would not take as they are.
-    """
-    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
-    return plain, df.columns, ", ".join(f"{c} {t}" for c, t in plain.dtypes)
-
-
 def free_name(name: str, df: DataFrame) -> str:
     """`name`, with as many underscores before it as make it unlike all columns of `df`."""
     taken = {c.lower() for c in df.columns}
