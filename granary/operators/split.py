@@ -34,6 +34,24 @@ def score(images: np.ndarray, counts: np.ndarray, presence: np.ndarray, ratios:
     return float(4 * off(images).sum() + off(counts).sum() + 2 * off(presence).sum() + 3 * lacking)
 
 
+def ratio_score(samples: DataFrame, split: str, key: str, cls: str, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
+    """One row (score): `score` of the splits that `samples` already have, from sums alone.
+
+    Rows without a class count as images only; rows without one of SPLITS count in the totals. An empty table scores
+    four, the images' whole error.
+    """
+    per = samples.groupBy(split, key, cls).agg(F.count(cls).alias("n"))
+    off = lambda part, all_, ratio: F.abs(part / F.greatest(F.lit(1), all_) - ratio)
+    total = lambda parts: sum(parts, F.lit(0.0))
+    dealt = list(zip(SPLITS, ratios, strict=True))
+    images = per.select(split, key).distinct().agg((4 * total(off(F.count_if(F.col(split) == s), F.count("*"), r) for s, r in dealt)).alias("score"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col(split) == s, F.col("n"))), F.lit(0))
+    classes = per.where(F.col(cls).isNotNull()).groupBy(cls).agg(
+        (total(off(of(s), F.sum("n"), r) + 2 * off(F.count_if(F.col(split) == s), F.count("*"), r) for s, r in dealt) + total(F.when(of(s) == 0, 3.0).otherwise(0.0) for s in SPLITS[1:])).alias("score")
+    )
+    return images.unionByName(classes.select("score")).agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 def _assign(images: np.ndarray, counts: np.ndarray, presence: np.ndarray, seed: int, greedy: bool, ratios: tuple[float, ...]) -> np.ndarray:
     draw, n = random.Random(seed), len(images)
     if not greedy:

@@ -297,6 +297,18 @@ def group_split_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.by_hash(_t(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
 
 
+@_query(f"""WITH s AS (SELECT l_orderkey AS image, l_returnflag AS cls, CASE WHEN {_PLACE.replace('n_nationkey', 'o_custkey')} < 0.7 THEN 'train' WHEN {_PLACE.replace('n_nationkey', 'o_custkey')} < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT split, ratio::DOUBLE AS ratio FROM (VALUES ('train', 0.7), ('val', 0.15), ('test', 0.15)) v(split, ratio)),
+c AS (SELECT split, ratio, cls, n, m FROM r, (SELECT cls, count(*) AS n, count(DISTINCT image) AS m FROM s GROUP BY cls)),
+p AS (SELECT 4 * abs(count(DISTINCT image) / (SELECT count(DISTINCT image) FROM s) - ratio) AS part FROM r LEFT JOIN s USING (split) GROUP BY split, ratio
+UNION ALL SELECT abs(count(image) / n - ratio) + 2 * abs(count(DISTINCT image) / m - ratio) + CASE WHEN split <> 'train' AND count(image) = 0 THEN 3 ELSE 0 END FROM c LEFT JOIN s USING (split, cls) GROUP BY split, cls, ratio, n, m)
+SELECT round(sum(part), 6) AS score FROM p""")
+def split_ratio_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    dealt = split.by_hash(rows.select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), "o_custkey"), "o_custkey")
+    return split.ratio_score(dealt, "split", "image", "cls")
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("image"), F.col("c_mktsegment").alias("cls"))
 

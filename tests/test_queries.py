@@ -2,6 +2,7 @@
 
 import inspect
 
+import numpy as np
 import pytest
 
 from granary.plans import queries as plans
@@ -33,3 +34,11 @@ def test_split_search_runs_every_trial(spark, monkeypatch):
     bound = plans.queries()["split_search"](spark, SF_DIR)
     bound.apply_defaults()
     assert (bound.arguments["trials"], bound.arguments["seed"]) == (2000, 42)
+
+
+def test_ratio_score_is_the_score_of_the_sums(spark):
+    rows = [("train", 1, "a"), ("train", 1, "a"), ("train", 2, "b"), ("val", 3, "a"), ("val", 4, None), ("train", 5, "c")]
+    got = plans.split.ratio_score(spark.createDataFrame(rows, "split string, image long, cls string"), "split", "image", "cls").first()["score"]
+    images, counts, presence = np.array([3.0, 2, 0]), np.array([[2.0, 1, 1], [1, 0, 0], [0, 0, 0]]), np.array([[1.0, 1, 1], [1, 0, 0], [0, 0, 0]])
+    assert got == pytest.approx(plans.split.score(images, counts, presence), abs=1e-6)
+    assert plans.split.ratio_score(spark.createDataFrame([], "split string, image long, cls string"), "split", "image", "cls").first()["score"] == 4.0
