@@ -53,26 +53,27 @@ def ratio_score(samples: DataFrame, split: str, key: str, cls: str, ratios: tupl
 
 
 def _assign(images: np.ndarray, counts: np.ndarray, presence: np.ndarray, seed: int, greedy: bool, ratios: tuple[float, ...]) -> np.ndarray:
+    """Each group's split: drawn by the ratios, or (greedy) larger groups first, ties in random order, each to the split
+    whose images, instances and images by class then deviate least from their targets, with fines for overfull ones.
+    """
     draw, n = random.Random(seed), len(images)
     if not greedy:
         return np.array([draw.choices(range(len(ratios)), ratios)[0] for _ in range(n)], np.int64)
     order = sorted(range(n), key=lambda g: (-images[g], draw.random()))
     want = np.array(ratios)
     has = [np.zeros(len(ratios)), np.zeros((len(ratios), counts.shape[1])), np.zeros((len(ratios), counts.shape[1]))]
-    all_ = (max(images.sum(), 1), np.maximum(counts.sum(0), 1), np.maximum(presence.sum(0), 1))
+    goal = [np.multiply.outer(want, x.sum(0)) for x in (images, counts, presence)]
+    room = [np.maximum(x, 1.0) for x in goal]
     out = np.zeros(n, np.int64)
     for g in order:
-        cost = []
-        for s in range(len(ratios)):
-            share = (has[0][s] + images[g]) / all_[0]
-            by_class, by_image = (has[1][s] + counts[g]) / all_[1], (has[2][s] + presence[g]) / all_[2]
-            over = 0.8 * (by_class > 1.25 * want[s]).sum() if s else 0.0
-            cost.append(share / want[s] + (by_class / want[s]).mean() + 1.5 * (by_image / want[s]).mean() + over + (2.0 if share > 1.2 * want[s] else 0.0))
-        s = int(np.argmin(cost))
-        out[g] = s
-        has[0][s] += images[g]
-        has[1][s] += counts[g]
-        has[2][s] += presence[g]
+        then = [h + x[g] for h, x in zip(has, (images, counts, presence), strict=True)]
+        off = [np.abs(t - x) / r for t, x, r in zip(then, goal, room, strict=True)]
+        over = 0.8 * (then[1] > 1.25 * goal[1]).sum(1)
+        over[0] = 0.0
+        cost = off[0] + off[1].sum(1) + 1.5 * off[2].sum(1) + over + 2.0 * (then[0] > 1.2 * goal[0])
+        s = out[g] = int(np.argmin(cost))
+        for h, x in zip(has, (images, counts, presence), strict=True):
+            h[s] += x[g]
     return out
 
 

@@ -42,3 +42,10 @@ def test_ratio_score_is_the_score_of_the_sums(spark):
     images, counts, presence = np.array([3.0, 2, 0]), np.array([[2.0, 1, 1], [1, 0, 0], [0, 0, 0]]), np.array([[1.0, 1, 1], [1, 0, 0], [0, 0, 0]])
     assert got == pytest.approx(plans.split.score(images, counts, presence), abs=1e-6)
     assert plans.split.ratio_score(spark.createDataFrame([], "split string, image long, cls string"), "split", "image", "cls").first()["score"] == 4.0
+
+
+def test_greedy_split_fills_targets():
+    images = np.array([10.0] * 20)
+    counts = np.array([[5.0, 10.0]] * 20)
+    to = plans.split._assign(images, counts, np.array([[5.0, 10.0]] * 20), 1, True, plans.split.RATIOS)
+    assert np.bincount(to, minlength=3).tolist() == [14, 3, 3]
