@@ -265,6 +265,22 @@ def test_embeddings(spark):
         assert (r["n_links"], r["component_id"], r["kept"]) == (n[r["vec_id"]], least[r["vec_id"]], least[r["vec_id"]] == r["vec_id"])
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.08, 0.6])
+def test_embeddings_over_several_levels_of_cells(spark, spread):
+    draw = np.random.default_rng(11)
+    heart = draw.normal(size=(12, 8))
+    rows = (heart[draw.integers(0, 12, 900) ** 2 % 12] + spread * draw.normal(size=(900, 8))).astype(np.float32)
+    rows[700:] = heart[0] + spread * draw.normal(size=(200, 8))  # a hot cell
+    x = embeddings.unit(rows)
+    near = x @ x.T
+    np.fill_diagonal(near, 0)
+    links = list(zip(*map(np.ndarray.tolist, np.nonzero(near >= 0.95)), strict=True))
+    n, least = Counter(a for a, _ in links), reach(range(900), links)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_near_dedup(frame, block=16, most_pivots=3, fan=4).collect()}
+    assert got == {i: (n[i], least[i]) for i in range(900)}
+
+
 def test_cover_tree_pairs_are_all_pairs():
     draw = np.random.default_rng(5)
     x = embeddings.unit(draw.normal(size=(400, 6)).astype(np.float32))
