@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.geometry import axis_angle
+from granary.functions.geometry import axis_angle, unit_axis
 
 _AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
@@ -56,21 +56,54 @@ def axis_ends(points: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
-def t_profile(points: DataFrame, *keys: str) -> DataFrame:
-    """(keys, angle_deg, length_px, head_at_end, head_width, stem_width, status) of nails.
+# Fixed values of the nail profile: share of the length and least and most pixels of an end band, percentiles that
+# bound a band's width, shares of width and of length and least and most pixels of half a cap.
+BAND_SHARE, BAND_LEAST, BAND_MOST = 0.18, 6.0, 28.0
+WIDTH_FROM, WIDTH_TO = 0.08, 0.92
+CAP_OF_WIDTH, CAP_OF_LENGTH, CAP_LEAST, CAP_MOST = 0.45, 0.045, 5.0, 18.0
+AXIS_PIXELS, BAND_PIXELS = 4, 3
 
-    Each end's fifth of the axis is a band; the band that is wider between its 8th and 92nd percentiles is the head.
+
+def t_profile(points: DataFrame, *keys: str, skeleton: DataFrame | None = None) -> DataFrame:
+    """(keys, angle_deg, length_px, tip_x, tip_y, head_x, head_y, cap_x1, cap_y1, cap_x2, cap_y2, status) of nails.
+
+    `points` are the pixels of each nail's largest component, `skeleton` those of its medial axis (by default all
+    pixels), which give axis and centre. The band at either end that is wider across the axis is the head; equally
+    wide ones, to six places, leave it at the lower end. The cap stands across the axis at the head's median. An axis
+    of fewer than four pixels, equal pixels or a length of one or less give a length of 0, no points and a status to review.
     """
-    ends = axis_ends(points, *keys).withColumnsRenamed({"length_px": "length_px"})
-    rows = points.join(ends.select(*keys, "angle_deg", "length_px", "first"), list(keys))
-    c, s = F.cos(F.radians("angle_deg")), F.sin(F.radians("angle_deg"))
-    rows = rows.withColumn("_t", (F.col("x") - F.col("first.x")) * c + (F.col("y") - F.col("first.y")) * s).withColumn("_u", (F.col("y") - F.col("first.y")) * c - (F.col("x") - F.col("first.x")) * s)
-    band = F.when(F.col("_t") <= 0.2 * F.col("length_px"), 0).when(F.col("_t") >= 0.8 * F.col("length_px"), 1)
-    width = rows.withColumn("_b", band).where("_b IS NOT NULL").groupBy(*keys, "_b").agg((F.percentile("_u", 0.92) - F.percentile("_u", 0.08)).alias("w"))
-    wide = width.groupBy(*keys).agg(F.max(F.struct("w", "_b")).alias("h"), F.min("w").alias("stem_width"))
-    out = ends.join(wide, list(keys), "left")
-    clear = F.coalesce((F.col("h.w") > 1.2 * F.col("stem_width")) & (F.col("length_px") > 0), F.lit(False))
-    return out.select(*keys, "angle_deg", "length_px", (F.col("h._b") == 1).alias("head_at_end"), F.col("h.w").alias("head_width"), "stem_width", F.when(clear, "ok_t_profile_skeleton").otherwise("needs_review_no_clear_t_profile").alias("status"))
+    axis = principal_axis(points if skeleton is None else skeleton, *keys)
+    axis = axis.select(*keys, "cx", "cy", F.when(F.col("n") >= AXIS_PIXELS, F.col("angle_deg")).alias("angle_deg"))
+    c, s = unit_axis(F.col("angle_deg"))
+    x, y = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    placed = points.select(*keys, "x", "y").join(axis, list(keys)).select(*keys, (x * c + y * s).alias("_u"), (y * c - x * s).alias("_v"))
+    extent = placed.groupBy(*keys).agg(F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+    band = F.least(F.greatest((F.col("_hi") - F.col("_lo")) * BAND_SHARE, F.lit(BAND_LEAST)), F.lit(BAND_MOST))
+    within = F.array_compact(F.array(F.when(F.col("_u") <= F.col("_lo") + band, 0), F.when(F.col("_u") >= F.col("_hi") - band, 1)))
+    ends = placed.join(extent, list(keys)).select(*keys, "_u", "_v", "_lo", "_hi", F.explode(within).alias("_end"))
+    full = F.count("*") >= BAND_PIXELS
+    edge = F.when(F.col("_end") == 0, F.first("_lo")).otherwise(F.first("_hi"))
+    bands = ends.groupBy(*keys, "_end").agg(
+        F.when(full, F.percentile("_v", WIDTH_TO) - F.percentile("_v", WIDTH_FROM)).otherwise(0.0).alias("_w"),
+        F.when(full, F.percentile("_v", 0.5)).otherwise(0.0).alias("_mid"),
+        F.when(full, F.percentile("_u", 0.5)).otherwise(edge).alias("_cap"),
+    )
+    head = bands.groupBy(*keys).agg(F.max(F.struct(F.round("_w", 6).alias("r"), (-F.col("_end")).alias("o"), "_w", "_mid", "_cap")).alias("_h"))
+    rows = axis.join(extent, list(keys), "left").join(head, list(keys), "left").withColumn("_len", F.col("_hi") - F.col("_lo"))
+    clear = F.col("angle_deg").isNotNull() & (F.col("_len") > 1)
+    tip = F.when(F.col("_h.o") == 0, F.col("_hi")).otherwise(F.col("_lo"))
+    half = F.least(F.greatest(F.col("_h._w") * CAP_OF_WIDTH, F.col("_len") * CAP_OF_LENGTH, F.lit(CAP_LEAST)), F.lit(CAP_MOST))
+    spots = {"tip": (tip, F.lit(0.0)), "head": (F.col("_h._cap"), F.col("_h._mid")), "cap1": (F.col("_h._cap"), F.col("_h._mid") - half), "cap2": (F.col("_h._cap"), F.col("_h._mid") + half)}
+    pixel = lambda v: F.when(clear, F.rint(F.round(v, 6)).cast("int"))
+    named = lambda name, way: f"{name[:3]}_{way}{name[3:]}" if name[3:].isdigit() else f"{name}_{way}"
+    put = {}
+    for name, (u, v) in spots.items():
+        put[named(name, "x")] = pixel(F.col("cx") + u * c - v * s)
+        put[named(name, "y")] = pixel(F.col("cy") + u * s + v * c)
+    rows = rows.withColumns(put)
+    length = F.hypot(F.col("head_x") - F.col("tip_x"), F.col("head_y") - F.col("tip_y"))
+    status = F.when(clear, "ok_t_profile_skeleton").otherwise("needs_review_no_clear_t_profile")
+    return rows.select(*keys, F.round("angle_deg", 6).alias("angle_deg"), F.round(F.coalesce(length, F.lit(0.0)), 6).alias("length_px"), *put, status.alias("status"))
 
 
 def _beside(points: set, p: tuple[int, int]) -> list[tuple[int, int]]:

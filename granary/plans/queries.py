@@ -284,7 +284,20 @@ def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.beam_geometry(_pixels(spark, sf_dir), "i")
 
 
-@_query()
+@_query("""WITH p AS (SELECT DISTINCT l_suppkey AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem),
+m AS (SELECT i, avg(x) AS cx, avg(y) AS cy, CASE WHEN count(*) >= 4 AND var_samp(x) + var_samp(y) > 0 THEN 0.5 * atan2(2 * covar_samp(x, y) + 0.0, var_samp(x) - var_samp(y)) END AS t FROM p GROUP BY i),
+r AS (SELECT i, (x - cx) * cos(t) + (y - cy) * sin(t) AS u, (y - cy) * cos(t) - (x - cx) * sin(t) AS v FROM p JOIN m USING (i)),
+e AS (SELECT i, min(u) AS lo, max(u) AS hi, least(greatest(0.18 * (max(u) - min(u)), 6), 28) AS band FROM r GROUP BY i),
+b AS (SELECT i, side, CASE WHEN count(*) >= 3 THEN quantile_cont(v, 0.92) - quantile_cont(v, 0.08) ELSE 0 END AS w, CASE WHEN count(*) >= 3 THEN median(v) ELSE 0 END AS mid,
+CASE WHEN count(*) >= 3 THEN median(u) WHEN side = 0 THEN any_value(lo) ELSE any_value(hi) END AS cap
+FROM r JOIN e USING (i), (VALUES (0), (1)) s(side) WHERE CASE side WHEN 0 THEN u <= lo + band ELSE u >= hi - band END GROUP BY i, side),
+h AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(w, 6) DESC, side) = 1),
+g AS (SELECT i, t, cx, cy, w, mid, cap, hi - lo AS l, CASE side WHEN 0 THEN hi ELSE lo END AS tip, least(greatest(0.45 * w, 0.045 * (hi - lo), 5), 18) AS half FROM m LEFT JOIN e USING (i) LEFT JOIN h USING (i)),
+k AS (SELECT i, t, l, CASE WHEN l > 1 THEN 1 END AS ok, cx + tip * cos(t) AS tx, cy + tip * sin(t) AS ty, cx + cap * cos(t) - mid * sin(t) AS hx, cy + cap * sin(t) + mid * cos(t) AS hy, half * sin(t) AS sx, half * cos(t) AS sy FROM g),
+z AS (SELECT i, t, ok, round_even(round(tx, 6), 0)::INT * ok AS tip_x, round_even(round(ty, 6), 0)::INT * ok AS tip_y, round_even(round(hx, 6), 0)::INT * ok AS head_x, round_even(round(hy, 6), 0)::INT * ok AS head_y,
+round_even(round(hx + sx, 6), 0)::INT * ok AS cap_x1, round_even(round(hy - sy, 6), 0)::INT * ok AS cap_y1, round_even(round(hx - sx, 6), 0)::INT * ok AS cap_x2, round_even(round(hy + sy, 6), 0)::INT * ok AS cap_y2 FROM k)
+SELECT i, round(CASE WHEN degrees(t) <= -90 THEN degrees(t) + 180 ELSE degrees(t) END, 6) AS angle_deg, round(coalesce(sqrt((head_x - tip_x) ** 2 + (head_y - tip_y) ** 2), 0), 6) AS length_px,
+tip_x, tip_y, head_x, head_y, cap_x1, cap_y1, cap_x2, cap_y2, CASE ok WHEN 1 THEN 'ok_t_profile_skeleton' ELSE 'needs_review_no_clear_t_profile' END AS status FROM z""")
 def nail_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.t_profile(_pixels(spark, sf_dir), "i")
 

@@ -49,3 +49,19 @@ def test_greedy_split_fills_targets():
     counts = np.array([[5.0, 10.0]] * 20)
     to = plans.split._assign(images, counts, np.array([[5.0, 10.0]] * 20), 1, True, plans.split.RATIOS)
     assert np.bincount(to, minlength=3).tolist() == [14, 3, 3]
+
+
+def test_nail_head_is_the_wide_end(spark):
+    shaft = [("n", x, y) for x in range(10, 90) for y in range(20, 25)]
+    head = [("n", x, y) for x in range(78, 90) for y in range(10, 35)]
+    lone = [("dot", 3, 3)]
+    same = [("pair", 5, 5), ("pair", 6, 5)]
+    frame = spark.createDataFrame(sorted(set(shaft + head)) + lone + same, "i string, x int, y int")
+    got = {r["i"]: r for r in plans.skeleton.t_profile(frame, "i").collect()}
+    nail = got["n"]
+    assert nail["status"] == "ok_t_profile_skeleton" and abs(nail["angle_deg"]) < 1
+    assert (nail["tip_x"], nail["tip_y"], nail["head_y"]) == (10, 22, 22) and nail["head_x"] in (82, 83, 84)
+    assert nail["cap_x1"] == nail["cap_x2"] == nail["head_x"] and nail["cap_y2"] - nail["cap_y1"] in (18, 19, 20)
+    assert nail["length_px"] == nail["head_x"] - nail["tip_x"]
+    assert (got["dot"]["status"], got["dot"]["length_px"], got["dot"]["tip_x"]) == ("needs_review_no_clear_t_profile", 0.0, None)
+    assert (got["pair"]["angle_deg"], got["pair"]["length_px"]) == (None, 0.0)
