@@ -127,19 +127,23 @@ def thin(mask: np.ndarray) -> np.ndarray:
 
 
 def prune(points: set[tuple[int, int]], longest: float = 4.0) -> set[tuple[int, int]]:
-    """Takes off side branches of at most this length until none is left; a lone path stays."""
+    """Takes off side branches of at most this length until none is left; a lone path stays.
+
+    Branches are followed over the four straight neighbours, so that no diagonal cuts a junction short.
+    """
     points = set(points)
+    beside = lambda p: [q for dx, dy in _AROUND if not (dx and dy) and (q := (p[0] + dx, p[1] + dy)) in points]
     while True:
         gone: set[tuple[int, int]] = set()
-        for end in sorted(p for p in points if len(_beside(points, p)) == 1):
+        for end in sorted(p for p in points if len(beside(p)) == 1):
             walk, length, last = [end], 0.0, None
             while True:
-                ahead = [q for q in _beside(points, walk[-1]) if q != last and q not in walk]
+                ahead = [q for q in beside(walk[-1]) if q != last and q not in walk]
                 if len(ahead) != 1:
                     break
                 last = walk[-1]
                 length += math.dist(last, ahead[0])
-                if len(_beside(points, ahead[0])) > 2:
+                if len(beside(ahead[0])) > 2:
                     if length <= longest:
                         gone |= set(walk)
                     break
@@ -150,7 +154,10 @@ def prune(points: set[tuple[int, int]], longest: float = 4.0) -> set[tuple[int,
 
 
 def longest_path(points: set[tuple[int, int]]) -> tuple[float, list[tuple[int, int]]]:
-    """The longest of the shortest paths between two ends; equal lengths go to the smaller ends."""
+    """The longest of the shortest paths between two ends; equal lengths go to the smaller ends.
+
+    With fewer than two ends any two points may be a path's; without a path, as of lone points, it is (0, []).
+    """
 
     def reach(start: tuple[int, int]) -> tuple[dict, dict]:
         far, came, heap = {start: 0.0}, {}, [(0.0, start)]
@@ -165,8 +172,10 @@ def longest_path(points: set[tuple[int, int]]) -> tuple[float, list[tuple[int, i
                     heapq.heappush(heap, (e, q))
         return far, came
 
-    best: tuple[float, list] = (0.0, sorted(points))
+    best: tuple[float, list] = (0.0, [])
     ends = sorted(p for p in points if len(_beside(points, p)) == 1)
+    if len(ends) < 2:
+        ends = sorted(points)
     found = False
     for start in ends:
         far, came = reach(start)
@@ -179,33 +188,49 @@ def longest_path(points: set[tuple[int, int]]) -> tuple[float, list[tuple[int, i
     return best
 
 
+def _direction(points: np.ndarray) -> float | None:
+    """The angle of greatest spread in (-90, 90] degrees; none for equal points."""
+    (xx, xy), (_, yy) = np.cov(points, rowvar=False)
+    if not xx + yy:
+        return None
+    angle = math.degrees(math.atan2(2 * xy + 0.0, xx - yy) / 2)
+    return angle + 180 if angle <= -90 else angle
+
+
 def beam_geometry(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, n_pixels, length_px, n_ends, n_branches, status) of I-beam masks given by their pixels.
+    """(keys, n_pixels, length_px, angle_deg, first_x, first_y, last_x, last_y, n_ends, n_branches, status) of I-beam masks given by their pixels.
 
-    A mask is thinned, pruned and measured along its longest path. The statuses say how far that went.
+    A mask is thinned, pruned (unless fewer than two pixels are left) and measured along its longest path, or by its
+    whole length and its extremes along the axis where it has no path. Branches are counted before pruning, ends
+    after it. The status tells whether there were branches and whether pruning took any off. Masks of fewer than 50
+    pixels and skeletons of fewer than two have a length of 0 and neither angle nor ends.
     """
     kinds = dict(pixels.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, length, ends, branches = len(pdf), None, 0, 0
-        if n < 50:
-            status = "skipped_small_mask"
-        else:
+        n, length, angle, spots, ends, branches = len(pdf), 0.0, None, [None] * 4, 0, 0
+        status = "skipped_small_mask"
+        if n >= 50:
             x, y = pdf["x"].to_numpy(int), pdf["y"].to_numpy(int)
             mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
             mask[y - y.min(), x - x.min()] = True
             raw = {(int(b), int(a)) for a, b in zip(*np.nonzero(thin(mask)), strict=True)}
-            kept = prune(raw)
-            degree = [len(_beside(kept, p)) for p in kept]
-            ends, branches = degree.count(1), sum(d >= 3 for d in degree)
-            if len(kept) < 2:
-                status = "skeleton_too_short"
-            elif ends < 2:
-                status = "needs_review_no_clear_endpoints"
-            else:
-                length = longest_path(kept)[0]
-                status = "branched_needs_review" if branches else "ok_pruned_main_path" if len(kept) < len(raw) else "ok"
-        return pd.DataFrame([[*pdf.iloc[0][list(keys)], n, length, ends, branches, status]], columns=[*keys, "n_pixels", "length_px", "n_ends", "n_branches", "status"])
+            pruned = prune(raw)
+            kept = pruned if len(pruned) >= 2 else raw
+            branches = sum(len(_beside(raw, p)) >= 3 for p in raw)
+            ends = sum(len(_beside(kept, p)) == 1 for p in kept)
+            status = "skeleton_too_short"
+            if len(kept) >= 2:
+                length, path = longest_path(kept)
+                points = np.array(path or sorted(kept), float)
+                angle = _direction(points)
+                if not path:
+                    length = sum(math.dist(p, q) for p in kept for q in _beside(kept, p)) / 2
+                    along = points @ [math.cos(math.radians(angle)), math.sin(math.radians(angle))]
+                    points = points[[along.argmin(), along.argmax()]]
+                spots = [int(v) for point in (points[0], points[-1]) for v in point + [x.min(), y.min()]]
+                status = "ok" if not branches else "ok_pruned_main_path" if len(pruned) < len(raw) else "branched_needs_review"
+        return pd.DataFrame([[*pdf.iloc[0][list(keys)], n, length, angle, *spots, ends, branches, status]], columns=[*keys, "n_pixels", "length_px", "angle_deg", "first_x", "first_y", "last_x", "last_y", "n_ends", "n_branches", "status"])
 
     own = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return pixels.groupBy(*keys).applyInPandas(run, f"{own}, n_pixels long, length_px double, n_ends long, n_branches long, status string")
+    return pixels.groupBy(*keys).applyInPandas(run, f"{own}, n_pixels long, length_px double, angle_deg double, first_x int, first_y int, last_x int, last_y int, n_ends long, n_branches long, status string")

@@ -65,3 +65,17 @@ def test_nail_head_is_the_wide_end(spark):
     assert nail["length_px"] == nail["head_x"] - nail["tip_x"]
     assert (got["dot"]["status"], got["dot"]["length_px"], got["dot"]["tip_x"]) == ("needs_review_no_clear_t_profile", 0.0, None)
     assert (got["pair"]["angle_deg"], got["pair"]["length_px"]) == (None, 0.0)
+
+
+def test_beam_statuses(spark):
+    bar = [("bar", x, y) for x in range(100, 160) for y in range(50, 55)]
+    cross = [("cross", x, y) for x in range(60) for y in range(28, 33)] + [("cross", x, y) for x in range(28, 33) for y in range(60)]
+    ring = [("ring", x, y) for x in range(20) for y in range(20) if min(x, y) == 0 or max(x, y) == 19]
+    few = [("few", x, 0) for x in range(49)]
+    frame = spark.createDataFrame(sorted(set(bar + cross + ring + few)), "i string, x int, y int")
+    got = {r["i"]: r for r in plans.skeleton.beam_geometry(frame, "i").collect()}
+    assert got["bar"]["status"] == "ok" and 50 <= got["bar"]["length_px"] <= 60 and abs(got["bar"]["angle_deg"]) < 5
+    assert 100 <= got["bar"]["first_x"] < got["bar"]["last_x"] < 160 and 50 <= got["bar"]["first_y"] < 55
+    assert got["cross"]["status"] in ("branched_needs_review", "ok_pruned_main_path") and got["cross"]["n_branches"] > 0
+    assert got["ring"]["n_ends"] == 0 and got["ring"]["length_px"] > 30
+    assert (got["few"]["status"], got["few"]["length_px"], got["few"]["first_x"]) == ("skipped_small_mask", 0.0, None)
