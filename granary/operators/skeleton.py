@@ -56,6 +56,34 @@ def axis_ends(points: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def axis_line(points: DataFrame, *keys: str) -> DataFrame:
+    """(keys, angle_deg, length_px, first_x, first_y, last_x, last_y, status): the line through a mask's centre along
+    its axis, as far as its pixels reach. Fewer than two pixels or equal ones give no line and a status to review."""
+    axis = principal_axis(points, *keys).select(*keys, "cx", "cy", "angle_deg")
+    c, s = unit_axis(F.col("angle_deg"))
+    along = (F.col("x") - F.col("cx")) * c + (F.col("y") - F.col("cy")) * s
+    reach = points.join(axis, list(keys)).groupBy(*keys, "cx", "cy", "angle_deg").agg(F.min(along).alias("_lo"), F.max(along).alias("_hi"))
+    put = {f"{end}_{way}": F.rint(F.round(F.col(f"c{way}") + F.col(to) * part, 6)).cast("int") for end, to in (("first", "_lo"), ("last", "_hi")) for way, part in (("x", c), ("y", s))}
+    length = F.hypot(F.col("last_x") - F.col("first_x"), F.col("last_y") - F.col("first_y"))
+    status = F.when(F.col("angle_deg").isNull(), "needs_review_no_clear_axis").otherwise("ok_clean_axis")
+    return reach.withColumns(put).select(*keys, F.round("angle_deg", 6).alias("angle_deg"), F.round(F.coalesce(length, F.lit(0.0)), 6).alias("length_px"), *put, status.alias("status"))
+
+
+def geometry_rows(points: DataFrame, cls: str, *keys: str) -> DataFrame:
+    """(keys, cls, angle_deg, length_px, first_x, first_y, last_x, last_y, status), one row per instance to measure.
+
+    `points` are pixels with their instance's class: I-beams get their longest path, nails tip and head, bricks
+    nothing, all others, those without a class as well, their axis line. Case of the class name doesn't matter.
+    """
+    kind = F.lower(F.coalesce(F.col(cls), F.lit("")))
+    shape = [*keys, cls, "angle_deg", "length_px", "first_x", "first_y", "last_x", "last_y", "status"]
+    beams = beam_geometry(points.where(kind == "i-beam"), *keys, cls)
+    nails = t_profile(points.where(kind == "nail"), *keys, cls).withColumnsRenamed({"tip_x": "first_x", "tip_y": "first_y", "head_x": "last_x", "head_y": "last_y"})
+    others = points.where(~kind.isin("brick", "i-beam", "nail"))
+    lines = axis_line(others.withColumn("_c", F.coalesce(F.col(cls), F.lit(""))), *keys, "_c").withColumn(cls, F.nullif(F.col("_c"), F.lit("")))
+    return beams.select(shape).unionByName(nails.select(shape)).unionByName(lines.select(shape))
+
+
 # Fixed values of the nail profile: share of the length and least and most pixels of an end band, percentiles that
 # bound a band's width, shares of width and of length and least and most pixels of half a cap.
 BAND_SHARE, BAND_LEAST, BAND_MOST = 0.18, 6.0, 28.0

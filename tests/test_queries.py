@@ -79,3 +79,20 @@ def test_beam_statuses(spark):
     assert got["cross"]["status"] in ("branched_needs_review", "ok_pruned_main_path") and got["cross"]["n_branches"] > 0
     assert got["ring"]["n_ends"] == 0 and got["ring"]["length_px"] > 30
     assert (got["few"]["status"], got["few"]["length_px"], got["few"]["first_x"]) == ("skipped_small_mask", 0.0, None)
+
+
+def test_geometry_rows_follow_the_class(spark):
+    bar = [(x, y) for x in range(60) for y in range(5)]
+    classes = {1: "I-Beam", 2: "NAIL", 3: "brick", 4: "pipe", 5: None}
+    rows = [(i, c, x, y) for i, c in classes.items() for x, y in bar] + [(6, "pipe", 1, 1)]
+    got = {r["i"]: r for r in plans.skeleton.geometry_rows(spark.createDataFrame(rows, "i int, cls string, x int, y int"), "cls", "i").collect()}
+    assert {i: (r["cls"], r["status"]) for i, r in got.items()} == {
+        1: ("I-Beam", "ok"),
+        2: ("NAIL", "ok_t_profile_skeleton"),
+        4: ("pipe", "ok_clean_axis"),
+        5: (None, "ok_clean_axis"),
+        6: ("pipe", "needs_review_no_clear_axis"),
+    }
+    line = got[4]
+    assert (line["first_x"], line["first_y"], line["last_x"], line["last_y"], line["length_px"], line["angle_deg"]) == (0, 2, 59, 2, 59.0, 0.0)
+    assert (got[6]["length_px"], got[6]["first_x"]) == (0.0, None)
