@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import embeddings, language_model, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, urls
+from granary.llm import embeddings, language_model, lexical_search, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_best_fit_packing, op3_url_filter, op4_quality_rules, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_embedding_near_dedup, op9_quality_classifier, op10_simhash_near_dedup)
+    found = (op1_license_scan, op2_best_fit_packing, op3_url_filter, op4_quality_rules, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_embedding_near_dedup, op9_quality_classifier, op10_simhash_near_dedup, op11_lexical_search, op12_secret_scan)
     return {f.__name__: f for f in found}
 
 
@@ -76,4 +84,4 @@ FROM marked GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql(), "op5_line_dedup": _LINE_DEDUP}
+    return {"op1_license_scan": licenses.license_sql(), "op5_line_dedup": _LINE_DEDUP, "op11_lexical_search": lexical_search.SEARCH_SQL}
