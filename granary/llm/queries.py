@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import embeddings, language_model, lexical_search, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, secrets, simhash, urls
+from granary.llm import embeddings, language_model, lexical_search, licenses, line_dedup, mixing, packing, prefix_trie, quality_classifier, quality_rules, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.branched_trie(_table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_best_fit_packing, op3_url_filter, op4_quality_rules, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_embedding_near_dedup, op9_quality_classifier, op10_simhash_near_dedup, op11_lexical_search, op12_secret_scan)
+    found = (op1_license_scan, op2_best_fit_packing, op3_url_filter, op4_quality_rules, op5_line_dedup, op6_source_mixing, op7_lm_scoring, op8_embedding_near_dedup, op9_quality_classifier, op10_simhash_near_dedup, op11_lexical_search, op12_secret_scan, op13_conversation_prefix_trie)
     return {f.__name__: f for f in found}
 
 
@@ -84,4 +88,4 @@ FROM marked GROUP BY doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.license_sql(), "op5_line_dedup": _LINE_DEDUP, "op11_lexical_search": lexical_search.SEARCH_SQL}
+    return {"op1_license_scan": licenses.license_sql(), "op5_line_dedup": _LINE_DEDUP, "op11_lexical_search": lexical_search.SEARCH_SQL, "op13_conversation_prefix_trie": prefix_trie.TRIE_SQL}
