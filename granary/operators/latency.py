@@ -1,20 +1,26 @@
-"""Latency: summaries with exact percentiles, and rolling windows."""
+"""Latency: summaries with exact percentiles, and rolling windows, for keys of any number of samples or none."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import ordered
+from granary.shared import Tables
+
 
 def summary(samples: DataFrame, value: str, *by: str) -> DataFrame:
-    p = lambda q: F.round(F.percentile(value, q), 6)
-    return samples.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), p(0.5).alias("median"), p(0.95).alias("p95"))
+    """(by, n, mean, median, p95) of each key, or of all samples; nulls are left out."""
+    tables = Tables(samples.sparkSession)
+    found = ordered.percentiles(samples, list(by), value, {"median": 0.5, "p95": 0.95}, tables)
+    return tables.keep(found.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95")]))
 
 
 def rolling(samples: DataFrame, value: str, keys: list[str], order: list[str], size: int = 20, least: int = 5) -> DataFrame:
     """Adds rolling_mean and rolling_p95 of the last `size` samples, this one included; p95 waits for `least`.
 
-    Windows run within `keys`; without any, all samples would meet in one task.
+    Windows run within `keys`, or over all samples where there are none.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - size, 0)
-    return samples.withColumns({"rolling_mean": F.round(F.avg(value).over(w), 6), "rolling_p95": F.when(F.count(value).over(w) >= least, F.round(F.percentile(value, 0.95).over(w), 6))})
+    tables = Tables(samples.sparkSession)
+    found = ordered.rolling(samples, keys, order, size, {"rolling_mean": F.avg(value), "_n": F.count(value), "_p95": F.percentile(value, 0.95)}, tables)
+    return tables.keep(found.withColumns({"rolling_mean": F.round("rolling_mean", 6), "rolling_p95": F.when(F.col("_n") >= least, F.round("_p95", 6))}).drop("_n", "_p95"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import geometry, text
-from granary.operators import audit, balance, counts, dedupe, detections, latency, samples, skeleton, split
+from granary.operators import audit, balance, components, counts, dedupe, detections, latency, samples, skeleton, split
 from granary.sources import labels, reports
 
 CLASSES = ["A", "N", "R"]
@@ -96,6 +96,17 @@ def rolling_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.rolling(_t(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), "value", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "rolling_mean", "rolling_p95")
 
 
+@_query("""SELECT event_id, round(avg(value) OVER w, 6) AS rolling_mean, CASE WHEN count(value) OVER w >= 5 THEN round(quantile_cont(value, 0.95) OVER w, 6) END AS rolling_p95
+FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def rolling_latency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.rolling(_t(spark, sf_dir, "events").select("event_id", "ts", "value"), "value", [], ["ts", "event_id"]).select("event_id", "rolling_mean", "rolling_p95")
+
+
+@_query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
+def latency_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.summary(_t(spark, sf_dir, "events"), "value")
+
+
 @_query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"), "doc_id")
@@ -279,6 +290,30 @@ def skeleton_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.skeleton_length(_pixels(spark, sf_dir), "i")
 
 
+_CLUSTERS = """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem),
+near AS (SELECT a.i, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.i = b.i AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),
+q AS ({of}),
+link AS (SELECT a.i, a.kind, a.x, a.y, b.x AS nx, b.y AS ny FROM q a JOIN q b ON a.i = b.i AND a.kind = b.kind AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+spread AS (SELECT i, kind, x, y, y * 1000 + x AS c FROM q UNION SELECT s.i, s.kind, nx, ny, c FROM spread s JOIN link l ON s.i = l.i AND s.kind = l.kind AND s.x = l.x AND s.y = l.y WHERE c < ny * 1000 + nx),
+least AS (SELECT i, kind, x, y, min(c) AS c FROM spread GROUP BY ALL),
+parts AS (SELECT i, kind, c, count(*) AS pixels, round_even(avg(x), 0)::INT AS x, round_even(avg(y), 0)::INT AS y, min(x)::INT AS "left", max(x)::INT AS "right", max(y)::INT AS bottom FROM least GROUP BY ALL)"""
+
+
+@_query(_CLUSTERS.format(of="SELECT *, 'set' AS kind FROM p") + ' SELECT i, (c // 1000)::INT AS top_y, (c % 1000)::INT AS top_x, pixels, x, y, "left", "right", bottom FROM parts')
+def pixel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.component_table(_pixels(spark, sf_dir), "i")
+
+
+@_query(_CLUSTERS.format(of="SELECT *, 'set' AS kind FROM p") + " SELECT i, least.x, least.y FROM least JOIN (SELECT i, arg_min(c, (-pixels) * 100000000 + c) AS c FROM parts GROUP BY i) USING (i, c)")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.largest_component(_pixels(spark, sf_dir), "i")
+
+
+@_query(_CLUSTERS.format(of="SELECT i, x, y, CASE WHEN count(*) = 1 THEN 'end' ELSE 'branch' END AS kind FROM near GROUP BY ALL HAVING count(*) <> 2") + " SELECT i, kind, x, y, pixels FROM parts")
+def skeleton_ends_and_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.ends_and_branches(_pixels(spark, sf_dir), "i")
+
+
 @_query()
 def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.beam_geometry(_pixels(spark, sf_dir), "i")
