@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.geometry import tile_starts
+from granary.shared import Tables
+
+#: Boxes of one image and class that a task settles at once; more are settled in rounds, by place.
+GROUP = 4096
 
 
 def confident(conf: Column, cls: Column, floors: dict[str, float], otherwise: float) -> Column:
@@ -87,18 +94,32 @@ def suppress(boxes: np.ndarray, conf: np.ndarray, iou: float) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def class_nms(detections: DataFrame, keys: list[str], iou: float = 0.3) -> DataFrame:
+def class_nms(detections: DataFrame, keys: list[str], iou: float = 0.3, most: int = GROUP) -> DataFrame:
     """Non-maximum suppression of (x1, y1, x2, y2, conf) within `keys`, usually image and class.
 
-    Rows of equal confidence go by box. Groups are small and many, so that sorted partitions are streamed and each
-    run of equal keys is handled as it ends, rather than a frame made for every group.
+    Rows of equal confidence go by box. Groups of up to `most` boxes are small and many: sorted partitions are
+    streamed and each run of equal keys is handled as it ends. Larger ones are settled in rounds (`nms_rounds`).
     """
-
+    own = [f"_key{i}" for i in range(len(keys))]
+    large = detections.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)])
+    tables = Tables(detections.sparkSession)
+    large = tables.write(large)
+    if not large.head(1):
+        tables.drop(large)
+        return _streamed(detections, keys, iou)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)])
+    few = _streamed(detections.join(large, same, "left_anti"), keys, iou)
+    return few.unionByName(nms_rounds(detections.join(large, same, "left_semi"), keys, iou, most))
+
+
+def _streamed(detections: DataFrame, keys: list[str], iou: float) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in parts:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            new = np.flatnonzero((pdf[keys].ne(pdf[keys].shift()) & ~(pdf[keys].isna() & pdf[keys].shift().isna())).any(axis=1).to_numpy())
+            new = (pdf[keys].ne(pdf[keys].shift()) & ~(pdf[keys].isna() & pdf[keys].shift().isna())).any(axis=1).to_numpy()
+            new[:1] = True  # a frame begins with a group, with one of null keys too
+            new = np.flatnonzero(new)
             rest = pdf.iloc[new[-1] :] if len(new) else None
             yield pdf.iloc[_kept(pdf, new, iou)]
         if rest is not None:
@@ -108,6 +129,69 @@ def class_nms(detections: DataFrame, keys: list[str], iou: float = 0.3) -> DataF
     return detections.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, detections.schema)
 
 
+def _cells(boxes: DataFrame, iou: float) -> DataFrame:
+    """A row for each cell in which a box can meet one that it overlaps by more than `iou`; `_cells` is their number.
+
+    Overlapping by more than a share, boxes differ in size by less than its inverse, so that a few grids suffice: cells
+    of a grid are as large as its boxes, and a box looks into its own grid and into those of the larger boxes in reach.
+    """
+    own = F.ceil(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).cast("int")
+    up = max(0, math.ceil(-math.log2(max(iou, 1e-3)) + 1e-9))
+    at = lambda c, g: F.floor(F.col(c) / F.pow(F.lit(2.0), g)).cast("long")
+    across = lambda g: F.flatten(F.transform(F.sequence(at("x1", g), at("x2", g)), lambda x: F.transform(F.sequence(at("y1", g), at("y2", g)), lambda y: F.struct(g.alias("_grid"), x.alias("_cx"), y.alias("_cy")))))
+    every = boxes.withColumn("_all", F.flatten(F.transform(F.sequence(own, own + up), across)))
+    return every.withColumn("_cells", F.size("_all")).withColumn("_at", F.explode("_all")).select(*boxes.columns, "_cells", "_at.*")
+
+
+def overlap(a: str, b: str) -> Column:
+    """Intersection over union of the boxes in the structs `a` and `b`."""
+    of = lambda s, c: F.col(f"{s}.{c}")
+    side = lambda s, lo, hi: F.greatest(F.lit(0.0), of(s, hi) - of(s, lo))
+    both = lambda lo, hi: F.greatest(F.lit(0.0), F.least(of(a, hi), of(b, hi)) - F.greatest(of(a, lo), of(b, lo)))
+    common = both("x1", "x2") * both("y1", "y2")
+    area = lambda s: side(s, "x1", "x2") * side(s, "y1", "y2")
+    return common / F.greatest(area(a) + area(b) - common, F.lit(1e-12))
+
+
+def nms_rounds(detections: DataFrame, keys: list[str], iou: float = 0.3, most: int = GROUP, leaders: int = 64) -> DataFrame:
+    """`class_nms` for groups of any size, spread over tasks by place.
+
+    A round compares each cell's `leaders` strongest open boxes with the cell's others, so that a crowded cell makes
+    no square of pairs. A box that leads in all its cells has met all stronger ones that it overlaps: it is kept if
+    there is none, and the open boxes that it overlaps go. Groups with at most `most` open boxes left are finished by
+    the task that holds them. Of equal boxes only the strongest takes part; boxes without an area, or with a side
+    that is null or no number, overlap none and stay.
+    """
+    if iou >= 1:
+        return detections
+    tables = Tables(detections.sparkSession)
+    rows = tables.write(detections.withColumn("_id", F.monotonically_increasing_id()))
+    box, own = ["x1", "y1", "x2", "y2"], [f"_key{i}" for i in range(len(keys))]
+    solid = F.coalesce(reduce(and_, [F.abs(c) < 1e15 for c in box]) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    conf = F.coalesce(F.col("conf").cast("double"), F.lit(float("-inf")))
+    firsts = rows.where(solid).groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in box]).agg(F.min(F.struct((-conf).alias("worse"), "_id")).alias("r"))
+    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    open_ = tables.write(firsts.select(*named, *box, F.struct("r.worse", *box, "r._id").alias("_rank")))
+    cell = [*own, "_grid", "_cx", "_cy"]
+    same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cell])
+    kept = [rows.where(~solid).select("_id")]
+    while open_.groupBy(*own).count().where(F.col("count") > most).head(1):
+        spread = tables.write(_cells(open_, iou))
+        lead = spread.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy("_rank"))).where(F.col("_place") <= leaders)
+        # a box's sides are part of its rank
+        pairs = tables.write(lead.alias("a").join(spread.alias("b"), same & (F.col("a._rank") < F.col("b._rank")) & (overlap("a._rank", "b._rank") > iou)).select(F.col("a._rank").alias("_by"), F.col("b._rank").alias("_rank")))
+        met = lead.groupBy("_rank").agg(F.count("*").alias("_n"), F.first("_cells").alias("_cells")).where(F.col("_n") == F.col("_cells"))
+        won = tables.write(met.select("_rank").join(pairs.select("_rank"), "_rank", "left_anti"))
+        gone = pairs.join(won.withColumnRenamed("_rank", "_by"), "_by", "left_semi").select("_rank").distinct()
+        rest = tables.write(open_.join(won.unionByName(gone), "_rank", "left_anti"))
+        kept.append(won.select("_rank._id"))
+        tables.drop(open_, spread, pairs)
+        open_ = rest
+    last = _streamed(open_.select(*own, *box, (-F.col("_rank.worse")).alias("conf"), "_rank._id"), own, iou)
+    ids = reduce(DataFrame.unionByName, [*kept, last.select("_id")])
+    return tables.keep(rows.join(ids, "_id", "left_semi").drop("_id"))
+
+
 def _kept(pdf: pd.DataFrame, edges: np.ndarray, iou: float) -> np.ndarray:
     boxes, conf = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
     parts = [s + suppress(boxes[s:e], conf[s:e], iou) if e - s > 1 else np.array([s]) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]

@@ -19,8 +19,9 @@ def collect_samples(images: DataFrame, files: DataFrame, key: str, path: str) ->
     Both sides meet on `key`, of which `files` has at most one row each.
     """
     joined = images.join(files.withColumn("_found", F.lit(True)), key, "left")
-    checked = F.when(F.col("_found"), F.col(path)).otherwise(F.raise_error(F.concat(F.lit("no label file for "), F.col(path).cast("string"))).cast(dict(images.dtypes)[path]))
-    return joined.withColumn(path, checked).drop("_found")
+    lacks = F.raise_error(F.concat(F.lit("no label file for "), F.coalesce(F.col(path).cast("string"), F.lit("an image without a path"))))
+    # a filter, so that no choice of columns prunes the check
+    return joined.where(F.coalesce("_found", lacks.cast("boolean"))).drop("_found")
 
 
 def named(instances: DataFrame, names: DataFrame, class_id: str, name: str) -> DataFrame:

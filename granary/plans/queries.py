@@ -254,13 +254,28 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.tiles(images, "w", "h").select("p_partkey", "x0", "y0")
 
 
-@_query()
+_NMS = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY conf DESC, x1, y1, x2, y2) AS n FROM ({boxes})),
+s AS (SELECT {keys}, n, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}}] AS kept FROM r WHERE n = 1
+UNION ALL SELECT {own}, r.n, CASE WHEN len(list_filter(kept, lambda k: greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1)) > 0.3 *
+((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))))) > 0 THEN kept
+ELSE list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}}) END FROM s JOIN r ON {same} AND r.n = s.n + 1)
+SELECT {keys}, unnest(k) FROM (SELECT {keys}, unnest(kept) AS k FROM s QUALIFY n = max(n) OVER (PARTITION BY {keys}))"""
+
+
+@_query(_NMS.format(keys="image, class_name", own="s.image, s.class_name", same="r.image = s.image AND r.class_name = s.class_name", boxes="SELECT l_orderkey AS image, l_returnflag AS class_name, (l_partkey % 40)::DOUBLE AS x1, (l_suppkey % 40)::DOUBLE AS y1, l_partkey % 40 + l_quantity::DOUBLE AS x2, l_suppkey % 40 + l_quantity::DOUBLE AS y2, l_discount * 10 AS conf FROM lineitem"))
 def class_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 40).cast("double")
     rows = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_name"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity")).alias("x2"), (y + F.col("l_quantity")).alias("y2"), "conf")
     return detections.class_nms(rows, ["image", "class_name"])
 
 
+@_query(_NMS.format(keys="image", own="s.image", same="r.image = s.image", boxes="SELECT l_suppkey AS image, (l_partkey % 200)::DOUBLE AS x1, (l_orderkey % 200)::DOUBLE AS y1, l_partkey % 200 + l_quantity::DOUBLE AS x2, l_orderkey % 200 + l_quantity::DOUBLE AS y2, l_discount * 10 AS conf FROM lineitem"))
+def crowded_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = (F.col("l_partkey") % 200).cast("double"), (F.col("l_orderkey") % 200).cast("double")
+    rows = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("image"), x.alias("x1"), y.alias("y1"), (x + F.col("l_quantity")).alias("x2"), (y + F.col("l_quantity")).alias("y2"), "conf")
+    return detections.class_nms(rows, ["image"], most=256)
+
+
 @_query("""SELECT label, count(*) AS n, round(CASE WHEN a <= -90 THEN a + 180 ELSE a END, 4) AS angle_deg FROM (SELECT label, degrees(0.5 * atan2(2 * covar_samp(x, y), var_samp(x) - var_samp(y))) AS a FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) GROUP BY label) JOIN embeddings USING (label) GROUP BY label, a""")
 def pca_angle_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _t(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
