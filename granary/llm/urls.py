@@ -8,6 +8,7 @@ model is one column expression.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from granary.llm.common import ascii_lower, written
 
 #: The rules that the registered query applies: (host, path start, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-FEATURES = ["f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_suffix1", "f_suffix2", "f_suffix1_n", "f_suffix2_n"]
+FEATURES = ["f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_suffix1", "f_suffix2", "f_suffix1_n", "f_suffix2_n", "f_folder", "f_folder_n"]
 BINS = 16
+#: Parts of the hosts, of which each is told the statistics of the others.
+FOLDS = 5
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -38,7 +41,7 @@ def rule_columns(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def lexical_features(urls: DataFrame) -> DataFrame:
-    """`urls` (url, host, path and others) with f_length to f_labels and the host's last one and two labels."""
+    """`urls` (url, host, path and others) with f_length to f_labels, the host's last one and two labels and the path's first folder."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size
@@ -54,20 +57,22 @@ def lexical_features(urls: DataFrame) -> DataFrame:
             "f_labels": F.size(F.split("host", r"\.")).cast("double"),
             "suffix1": F.regexp_extract("host", r"[^.]*$", 0),
             "suffix2": F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0),
+            "folder": F.regexp_extract("path", "^/([^/]*)/", 1),
         }
     )
 
 
 def _with_statistics(rows: DataFrame, labelled: DataFrame, prior: float, own: bool = False) -> DataFrame:
-    """Adds the smoothed share of blocked urls, and the number of labelled ones, of each host suffix.
+    """Adds the smoothed share of blocked urls, and the number of labelled ones, of each host suffix and of each first folder.
 
-    With `own`, `rows` are the labelled ones, and each is left out of what it is told.
+    With `own`, `rows` are the labelled ones, and each is told about the hosts of the other FOLDS only: what a row is told
+    must not depend on its own label, and leaving out the row alone would give the label away by what is missing.
     """
-    less, one = (F.col("y"), 1) if own else (F.lit(0), 0)
-    for k in ("suffix1", "suffix2"):
-        rows = rows.join(labelled.groupBy(k).agg(F.sum("y").alias("_y"), F.count("*").alias("_n")), k, "left")
-        n = F.coalesce(F.col("_n") - one, F.lit(0))
-        rows = rows.withColumns({f"f_{k}": (F.coalesce(F.col("_y") - less, F.lit(0)) + 10 * prior) / (n + 10), f"f_{k}_n": F.log2(n + 1.0)}).drop("_y", "_n")
+    for k in ("suffix1", "suffix2", "folder"):
+        parts = [F.struct(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("y"))), F.lit(0)).alias("y"), F.count_if(F.col("fold") == f).alias("n")) for f in range(FOLDS)]
+        rows = rows.join(labelled.groupBy(k).agg(F.sum("y").alias("_y"), F.count("*").alias("_n"), F.array(*parts).alias("_in")), k, "left")
+        less = lambda c: F.coalesce(F.col(f"_{c}") - (F.col("_in")[F.col("fold")][c] if own else 0), F.lit(0))
+        rows = rows.withColumns({f"f_{k}": (less("y") + 10 * prior) / (less("n") + 10), f"f_{k}_n": F.log2(less("n") + 1.0)}).drop("_y", "_n", "_in")
     return rows
 
 
@@ -134,23 +139,37 @@ def fit_trees(labelled: DataFrame, trees: int = 8, depth: int = 3, rate: float =
     return start, [real(t) for t in grown]
 
 
-def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", held_out: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): a verdict for each row of `pages`.
 
     The longest fitting rule decides; other urls are blocked where the trees' score is above 0. Null urls and those
-    without `://` have empty parts, fit no rule and are scored like others. Rows may repeat; an empty table gives an
-    empty result. Hosts may be very uneven: statistics are pre-aggregated and joined back on plain keys, which
-    adaptive execution can split.
+    without `://` have empty parts, fit no rule and are scored like others; urls of any length are read whole. Rows may
+    repeat; an empty table gives an empty result; other columns are not read. Hosts may be very uneven: statistics are
+    pre-aggregated and joined back on plain keys, which adaptive execution can split. `held_out`: a fold of hosts (of
+    FOLDS) from whose labels nothing is learnt, to measure the scores by.
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = lexical_features(rows.withColumns({"rule": rule, "given": verdict})).drop("url")
+    rows = lexical_features(rows.withColumns({"rule": rule, "given": verdict})).drop("url").withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
     rows = written(rows)
-    labelled = rows.where("given IS NOT NULL").withColumn("y", (F.col("given") == "block").cast("int"))
+    learnt = F.col("given").isNotNull() if held_out is None else F.col("given").isNotNull() & (F.col("fold") != held_out)
+    labelled = rows.where(learnt).withColumn("y", (F.col("given") == "block").cast("int"))
     prior = labelled.agg(F.avg("y")).first()[0] or 0.0
     start, trees = fit_trees(_with_statistics(labelled, labelled, prior, own=True))
     score = sum((_leaf(t, lambda x: F.lit(x["value"])) for t in trees), F.lit(start))
     scored = _with_statistics(rows, labelled, prior).withColumn("score", score)
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score")
+
+
+def held_out_agreement(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """One row (n, agreement, majority): how often scores of held-out hosts agree with the rules, over all FOLDS, and the
+    share that the more frequent verdict would reach."""
+    parts = []
+    for fold in range(FOLDS):
+        scored = url_filter(pages, rules, held_out=fold)
+        own = F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == fold
+        parts.append(scored.where(own & F.col("rule").isNotNull()).select((F.col("verdict") == "block").cast("int").alias("y"), (F.col("score") > 0).cast("int").alias("told")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("told")).cast("int")).alias("agreement"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority"))
