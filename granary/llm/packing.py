@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -202,40 +203,80 @@ def fractional_packing(histogram: dict[int, int], capacity: int = CAPACITY, phas
         solution[name] = solution.get(name, 0.0) + step
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, reserve: int = 16, least: int = 32, most: int = 256) -> tuple[list[tuple[int, dict[int, int]]], float]:
-    """([(number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
+def _real(solution: list[tuple[float, dict[int, int]]], left: dict[int, int], capacity: int, grid: int, rest: float) -> list[list]:
+    """Whole sequences from the fractional configurations over length classes, as best-fit groups; `left` shrinks.
 
-    The configuration program is solved fractionally for the `most` lengths with the most tokens among those of `least`
-    tokens and many pieces; shorter and rarer ones suit the gaps. Each configuration is rounded down, and what that
-    leaves over, `reserve` pieces of each length among it, is packed best fit, either with the
-    configurations that leave room taken apart again or not: the fewest sequences win, plain best fit included. The
-    plan covers the histogram exactly.
+    Configurations of fewer, longer pieces go first, since short pieces suit any gap. Each is taken as often as its
+    number says, at least once, while its classes have pieces: of a class the most frequent length, and as the last
+    piece the longest one that the room really left holds. Sequences with a wider gap than the configuration has are
+    not taken; their pieces stay in `left`, and so does a share of `rest` of all tokens, to fill gaps with.
     """
-    histogram = {k: n for k, n in histogram.items() if n > 0}
-    total, left = float(sum(k * n for k, n in histogram.items())) / capacity, dict(histogram)
-    common = {k: n - reserve for k, n in histogram.items() if n > 2 * reserve and k >= least}
-    common = {k: common[k] for k in sorted(common, key=lambda k: (-k * common[k], k))[:most]}
-    solution, part = fractional_packing(common, capacity, max(3, 1200 // max(1, len(common))))
-    plan = []
-    for x, contents in sorted(solution, key=lambda s: (-s[0], sorted(s[1].items()))):
-        times = min([int(x), *((left[k] - reserve) // n for k, n in contents.items())])
-        if times > 0:
-            plan.append((times, contents))
-            for k, n in contents.items():
-                left[k] -= n * times
-    whole = plan + _best_fit(left, capacity)
-    full = [(times, contents) for times, contents in plan if sum(k * n for k, n in contents.items()) == capacity]
-    for times, contents in plan:
-        if sum(k * n for k, n in contents.items()) < capacity:
-            for k, n in contents.items():
-                left[k] += n * times
-    plans = [whole, full + _best_fit(left, capacity), _best_fit(histogram, capacity)]
-    return min(plans, key=lambda p: sum(times for times, _ in p)), max(total, part)
-
+    groups: list[list] = []
+    tokens = sum(k * n for k, n in left.items())
+    stop = rest * tokens
+    members: dict[int, list[int]] = {}
+    for k in left:
+        members.setdefault(-(-k // grid), []).append(k)
+    open_ = sorted(left)
+    for x, contents in sorted(solution, key=lambda s: (sum(s[1].values()), -s[0], sorted(s[1].items()))):
+        wanted = [c for c, n in sorted(contents.items(), reverse=True) for _ in range(n)]
+        gap, times = capacity - grid * sum(wanted), max(1, int(x))
+        while times and tokens > stop:
+            chosen: dict[int, int] = {}
+            room = capacity
+            for c in wanted[:-1]:
+                k = max((k for k in members.get(c, ()) if left[k] > chosen.get(k, 0)), key=lambda k: (left[k] // (chosen.get(k, 0) + 1), k), default=None)
+                if k is not None:
+                    chosen[k] = chosen.get(k, 0) + 1
+                    room -= k
+            at = bisect_left(open_, room + 1) - 1
+            while at >= 0 and left[open_[at]] <= chosen.get(open_[at], 0):
+                at -= 1
+            if at >= 0:
+                chosen[open_[at]] = chosen.get(open_[at], 0) + 1
+                room -= open_[at]
+            if not chosen or room > gap:
+                break
+            most = min(times, *(left[k] // n for k, n in chosen.items()))
+            for k, n in chosen.items():
+                left[k] -= n * most
+                tokens -= k * n * most
+                if not left[k]:
+                    open_.pop(bisect_left(open_, k))
+                    members[-(-k // grid)].remove(k)
+            groups.append([room, most, chosen])
+            times -= most
+    return groups
+
+
+#: Length classes of the program: lengths are rounded up to the finest grid that has no more.
+CLASSES = 256
+#: Share of the tokens that rounding leaves to best fit.
+REST = 0.2
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, rest: float = REST) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """([(number of sequences, {length: pieces in each})], lower bound on any packing's number of sequences).
 
-def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit, largest first, over equal sequences at a time."""
-    groups: list[list] = []  # room, number of sequences, contents
+    The configuration program is solved fractionally over all lengths, or, where they are more than CLASSES, over
+    classes of lengths rounded up. Its configurations are rounded to whole sequences of real pieces (`_real`). Pieces
+    that are left, few of each length, are placed best fit, largest first, in the gaps of planned sequences too. The plan
+    covers the histogram exactly.
+    """
+    left = {k: n for k, n in histogram.items() if n > 0}
+    total = float(sum(k * n for k, n in left.items())) / capacity
+    grid = next((g for g in (1, 2, 4, 8) if capacity % g == 0 and len({-(-k // g) for k in left}) <= CLASSES), 1)
+    classes: dict[int, int] = {}
+    for k, n in left.items():
+        classes[-(-k // grid)] = classes.get(-(-k // grid), 0) + n
+    solution, part = fractional_packing(classes, capacity // grid, max(3, 1200 // max(1, len(classes))))
+    groups = _real(solution, left, capacity, grid, rest)
+    return _best_fit(left, capacity, groups), max(total, part) if grid == 1 else total
+
+
+def _best_fit(histogram: dict[int, int], capacity: int, groups: list[list] | None = None) -> list[tuple[int, dict[int, int]]]:
+    """Best fit, largest first, over equal sequences at a time; `groups` are begun ones: room, number of sequences, contents."""
+    groups = groups if groups is not None else []
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n:
