@@ -99,12 +99,12 @@ def _fly(rows: DataFrame, last: bool, level: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source, source_size, target, times, taken): how often the mix takes each row of `docs`.
+    """(doc_id, size, source, nth, source_size, target, times, taken): how often the mix takes each row of `docs`.
 
     Size is the number of words. times is at most `limit` rounded up, taken = times * size. A source's taken words
     differ from its target by less than its largest document, whatever the number of blocks. A source without words
-    is not taken. Reruns agree, whatever the partitions: rows of one doc_id, source and size are told apart by a running
-    number, by which they spread over blocks like others. Null texts have size 0, null sources are one source, null
+    is not taken. Reruns agree, whatever the partitions: rows of one doc_id, source and size are told apart by the running
+    number nth (from 0), by which they spread over blocks like others. Null texts have size 0, null sources are one source, null
     ids are ids like others; an empty table gives an empty result, and other columns are not read. Sources are listed
     in one task once they are summed up, so they should be labels of the corpus, not as many as its documents.
     """
@@ -133,4 +133,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         now = now.where(f"p > {_EPS} AND p < {1 - _EPS}").withColumn("block", F.floor(F.col("block") / (block // 2)).cast("long"))
         blocks, level = -(-blocks // (block // 2)), level + 1
     times = F.col("base") + F.round("p").cast("long")
-    return settled.select("doc_id", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return settled.select("doc_id", "size", "source", "nth", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
