@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import latency
 
-def count_grid(images: DataFrame, instances: DataFrame, key: str, cls: str, classes: list, predicted: Column) -> DataFrame:
+
+def count_grid(images: DataFrame, instances: DataFrame, key: str, cls: str, classes: list, predicted: Column, true: Column | None = None) -> DataFrame:
     """(key, class, gt_count, pred_count) for every image and class, zeros included.
 
-    Instances are summed once for both sides; the grid comes from exploding the fixed list of classes.
+    `predicted` and `true` (by default all) say which instances count on either side. Each image has one sum, a count for each of
+    the fixed classes, and is joined once; the grid is exploded afterwards.
     """
-    found = instances.groupBy(key, cls).agg(F.count("*").alias("gt"), F.count_if(predicted).alias("pred"))
-    grid = images.select(key).withColumn(cls, F.explode(F.array(*map(F.lit, classes))))
-    return grid.join(found, [key, cls], "left").select(key, cls, F.coalesce("gt", F.lit(0)).alias("gt_count"), F.coalesce("pred", F.lit(0)).alias("pred_count"))
+    true = F.lit(True) if true is None else true
+    of = lambda c: F.struct(F.count_if((F.col(cls) == c) & true).alias("gt"), F.count_if((F.col(cls) == c) & predicted).alias("pred"))
+    found = instances.groupBy(key).agg(*[of(c).alias(f"_c{k}") for k, c in enumerate(classes)])
+    joined = images.select(key).join(found, key, "left")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias(cls), *[F.coalesce(F.col(f"_c{k}.{side}"), F.lit(0)).alias(f"{side}_count") for side in ("gt", "pred")]) for k, c in enumerate(classes)]))
+    return joined.select(key, each.alias("_e")).select(key, "_e.*")
 
 
 def with_errors(counts: DataFrame) -> DataFrame:
@@ -36,3 +42,38 @@ def count_metric(errors: DataFrame, *by: str) -> DataFrame:
         F.round(F.sqrt(F.avg("squared_error")), 6).alias("rmse"),
         F.round(F.avg(F.col("exact").cast("double")), 6).alias("exact_accuracy"),
     )
+
+
+def evaluation_rows(images: DataFrame, instances: DataFrame, classes: dict[int, str], predicted: Column, true: Column) -> DataFrame:
+    """The rows of a count evaluation: one for each image and class, and one of totals for each image.
+
+    images: (image, image_path, inference_ms, end_to_end_ms); an image without an inference time has the whole time
+    there. instances: (image_path, class_id and what `predicted` and `true` ask for). Totals' class is -1, overall.
+    """
+    whole = F.col("end_to_end_ms").cast("double")
+    told = images.select("image", "image_path", F.coalesce(F.col("inference_ms").cast("double"), whole).alias("inference_ms"), whole.alias("end_to_end_ms"))
+    ids = sorted(classes)
+    grid = count_grid(images, instances, "image_path", "class_id", ids, predicted, true)
+    names = F.create_map(*[F.lit(x) for c in ids for x in (c, classes[c])])
+    per = grid.groupBy("image_path").agg(F.collect_list(F.struct("class_id", "gt_count", "pred_count")).alias("c"))  # a row of the few classes
+    total = lambda side: F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x[f"{side}_count"])
+    rows = F.transform("c", lambda x: F.struct(F.lit("class").alias("row_type"), x["class_id"].alias("class_id"), names[x["class_id"]].alias("class_name"), x["gt_count"].alias("gt_count"), x["pred_count"].alias("pred_count")))
+    last = F.array(F.struct(F.lit("total").alias("row_type"), F.lit(-1).alias("class_id"), F.lit("overall").alias("class_name"), total("gt").alias("gt_count"), total("pred").alias("pred_count")))
+    return with_errors(per.select("image_path", F.explode(F.concat(rows, last)).alias("r")).select("image_path", "r.*")).join(told, "image_path")
+
+
+def evaluation_metrics(rows: DataFrame) -> DataFrame:
+    """(part, class_id, metric, value) of `evaluation_rows`: by_class, overall, per_image_total and the two latencies.
+
+    Counts are sums of one pass; percentiles come from a distributed order. Metrics without a row are null.
+    """
+    kinds = {"samples": F.count("*"), "gt_total": F.sum("gt_count"), "pred_total": F.sum("pred_count"), "mae": F.avg("abs_error"), "rmse": F.sqrt(F.avg("squared_error")), "exact_count_accuracy": F.avg(F.col("exact").cast("double"))}
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in kinds])).alias("m")
+    part = lambda df, name, by: df.groupBy(*by).agg(*[a.alias(n) for n, a in kinds.items()]).select(F.lit(name).alias("part"), (F.col("class_id") if by else F.lit(None)).cast("int").alias("class_id"), long).select("part", "class_id", "m.*")
+    single, totals = rows.where("row_type = 'class'"), rows.where("row_type = 'total'")
+    out = part(single, "by_class", ["class_id"]).unionByName(part(single, "overall", [])).unionByName(part(totals, "per_image_total", []))
+    for name in ("inference", "end_to_end"):
+        told = latency.summary(totals, f"{name}_ms")
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in (("count", "n"), ("mean_ms", "mean"), ("median_ms", "median"), ("p95_ms", "p95"))])).alias("m")
+        out = out.unionByName(told.select(F.lit(f"latency.{name}").alias("part"), F.lit(None).cast("int").alias("class_id"), each).select("part", "class_id", "m.*"))
+    return out

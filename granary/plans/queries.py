@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import geometry, text
-from granary.operators import audit, balance, components, counts, dedupe, detections, latency, samples, skeleton, split
+from granary.operators import audit, balance, components, counts, dedupe, detections, distance, latency, samples, skeleton, split
 from granary.sources import labels, reports
 
 CLASSES = ["A", "N", "R"]
@@ -85,6 +85,31 @@ def count_errors_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.withColumn("row_type", F.lit("class")).unionByName(total).select("row_type", "image", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact")
 
 
+_EVAL = """WITH g AS (SELECT o_orderkey AS image, id AS class_id, count(*) FILTER (l_tax < 0.06) AS gt_count, count(*) FILTER (l_discount >= 0.03) AS pred_count
+FROM orders CROSS JOIN (VALUES (0, 'A'), (1, 'N'), (2, 'R')) c(id, flag) LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = flag GROUP BY ALL),
+t AS (SELECT image, -1 AS class_id, sum(gt_count)::BIGINT AS gt_count, sum(pred_count)::BIGINT AS pred_count FROM g GROUP BY image),
+e AS (SELECT *, pred_count - gt_count AS error FROM (SELECT 'by_class' AS part, class_id AS shown, * FROM g UNION ALL SELECT 'overall', NULL, * FROM g UNION ALL SELECT 'per_image_total', NULL, * FROM t)),
+m AS (SELECT part, shown AS class_id, MAP {'samples': count(*)::DOUBLE, 'gt_total': sum(gt_count)::DOUBLE, 'pred_total': sum(pred_count)::DOUBLE, 'mae': avg(abs(error)), 'rmse': sqrt(avg(error * error)), 'exact_count_accuracy': avg((error = 0)::INT)} AS v FROM e GROUP BY ALL),
+l AS (SELECT 'latency.inference' AS part, o_custkey % 97 + 0.5 AS ms FROM orders UNION ALL SELECT 'latency.end_to_end', o_custkey % 97 + 1.5 + o_orderkey % 7 FROM orders),
+n AS (SELECT part, NULL::INT AS class_id, MAP {'count': count(*)::DOUBLE, 'mean_ms': avg(ms::DOUBLE), 'median_ms': quantile_cont(ms::DOUBLE, 0.5), 'p95_ms': quantile_cont(ms::DOUBLE, 0.95)} AS v FROM l GROUP BY part)
+SELECT part, class_id, metric, round(v[metric], 6) AS value FROM m, (SELECT unnest(['samples', 'gt_total', 'pred_total', 'mae', 'rmse', 'exact_count_accuracy']) AS metric)
+UNION ALL SELECT part, class_id, metric, round(v[metric], 6) FROM n, (SELECT unnest(['count', 'mean_ms', 'median_ms', 'p95_ms']) AS metric)"""
+
+
+@_query(_EVAL)
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("image"), F.col("o_orderkey").alias("image_path"), (F.col("o_custkey") % 97 + 0.5).alias("inference_ms"), (F.col("o_custkey") % 97 + 1.5 + F.col("o_orderkey") % 7).alias("end_to_end_ms"))
+    found = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_path"), (F.ascii("l_returnflag") - 65).alias("flag"), "l_tax", "l_discount")
+    found = found.withColumn("class_id", F.when(F.col("flag") == 0, 0).when(F.col("flag") == 13, 1).when(F.col("flag") == 17, 2))
+    rows = counts.evaluation_rows(images, found, {0: "A", 1: "N", 2: "R"}, F.col("l_discount") >= 0.03, F.col("l_tax") < 0.06)
+    return counts.evaluation_metrics(rows).withColumn("value", F.round("value", 6))
+
+
+@_query("SELECT event_id AS document, key AS path, NULL::VARCHAR AS parent, key AS metric, TRY_CAST(props ->> key AS DOUBLE) AS value, props ->> key AS text, false AS corrupt FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def metrics_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.metric_rows(_t(spark, sf_dir, "events"), "event_id", "props")
+
+
 @_query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.summary(_t(spark, sf_dir, "events"), "value", "event_type")
@@ -305,6 +330,15 @@ def skeleton_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.skeleton_length(_pixels(spark, sf_dir), "i")
 
 
+@_query("""WITH p AS (SELECT DISTINCT l_suppkey % 10 AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem),
+r AS (SELECT i, x, y, y - row_number() OVER (PARTITION BY i, x ORDER BY y) AS gap FROM p),
+g AS (SELECT i, x, y, least(y - min(y) OVER w, max(y) OVER w - y) + 1 AS g FROM r WINDOW w AS (PARTITION BY i, x, gap)),
+c AS (SELECT i, x AS cx, y, g FROM g UNION ALL SELECT i, cx, y, 0 FROM (SELECT DISTINCT i, y FROM p), (SELECT unnest(range(-1, 65)) AS cx) WHERE (i, y, cx) NOT IN (SELECT (i, y, x) FROM p))
+SELECT g.i, g.x, g.y, min(c.g * c.g + (c.cx - g.x) * (c.cx - g.x))::BIGINT AS d2 FROM g JOIN c ON c.i = g.i AND c.y = g.y GROUP BY ALL""")
+def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.distance_transform(_pixels(spark, sf_dir).select((F.col("i") % 10).alias("i"), "x", "y"), "i")
+
+
 _CLUSTERS = """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem),
 near AS (SELECT a.i, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.i = b.i AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),
 q AS ({of}),

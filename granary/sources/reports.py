@@ -11,10 +11,37 @@ from pyspark.sql import functions as F
 
 from granary.schemas import COUNT_ERRORS
 
+#: Levels of a metrics document that are unfolded; what lies deeper stays one leaf, as JSON.
+DEPTH = 8
+
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics documents, one row each; broken ones keep their text in _corrupt_record."""
-    return spark.read.option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    """`metric_rows` of the metrics documents under `path`, each known by its file."""
+    return metric_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document"), F.col("value").alias("content")))
+
+
+def metric_rows(documents: DataFrame, document: str = "document", content: str = "content") -> DataFrame:
+    """(document, path, parent, metric, value, text, corrupt): every leaf of JSON documents, whatever their keys.
+
+    path joins the keys and places down to the leaf by dots, parent is the key above the last one (as `0:Brick` under
+    `by_class`), metric the last. Numbers and truth values are in `value` too, all but null have a `text`. A document that is no JSON has one
+    row without a path, whose text is its content; an empty object has none. Levels are unfolded one by one, so that
+    a document of any size is spread over rows at its first level.
+    """
+    parsed = documents.select(F.col(document).alias("document"), F.col(content).alias("_content"), F.try_parse_json(content).alias("_v"))
+    broken = parsed.where("_v IS NULL").select("document", F.lit(None).cast("array<string>").alias("_path"), F.col("_content").alias("text"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("corrupt"))
+    level = parsed.where("_v IS NOT NULL").select("document", F.array().cast("array<string>").alias("_path"), "_v")
+    kind = F.schema_of_variant("_v")
+    inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    leaves = []
+    for _ in range(DEPTH):
+        own = level.where(~inner)
+        number = F.coalesce(F.try_variant_get("_v", "$", "double"), F.try_variant_get("_v", "$", "boolean").cast("double"))
+        leaves.append(own.select("document", "_path", F.try_variant_get("_v", "$", "string").alias("text"), F.when(kind != "STRING", number).alias("value"), F.lit(False).alias("corrupt")))
+        level = documents.sparkSession.sql("SELECT d.document, concat(d._path, array(coalesce(e.key, CAST(e.pos AS STRING)))) AS _path, e.value AS _v FROM {d} d, LATERAL variant_explode(d._v) e", d=level.where(inner))
+    deep = level.select("document", "_path", F.to_json("_v").alias("text"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("corrupt"))
+    every = reduce(DataFrame.unionByName, [broken, *leaves, deep])
+    return every.select("document", F.array_join("_path", ".").alias("path"), F.try_element_at("_path", F.lit(-2)).alias("parent"), F.try_element_at("_path", F.lit(-1)).alias("metric"), "value", "text", "corrupt")
 
 
 def read_curves(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -41,10 +68,13 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
-def write_count_errors(rows: DataFrame, path: str) -> None:
-    """The count-error table as CSV, in its fixed column order; total rows show `overall` as their class."""
-    shown = rows.withColumn("class_id", F.when(F.col("row_type") == "total", "overall").otherwise(F.col("class_id").cast("string")))
-    shown.select(COUNT_ERRORS).write.mode("overwrite").csv(path, header=True)
+def write_count_errors(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """The count-error table as CSV, in its fixed column order; total rows show `overall` as their class.
+
+    `files` is the number of files, each written by one task: 1 for a report that is read as a whole.
+    """
+    shown = rows.withColumn("class_id", F.when(F.col("row_type") == "total", "overall").otherwise(F.col("class_id").cast("string"))).select(COUNT_ERRORS)
+    (shown if files is None else shown.repartitionByRange(files, "image_path", "class_id").sortWithinPartitions("image_path", "class_id")).write.mode("overwrite").csv(path, header=True)
 
 
 def csv_link(header: list[str], lines: list[list]) -> str:
