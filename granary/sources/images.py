@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from granary.sources.labels import source_group
 
@@ -21,7 +22,10 @@ def has_ending(path: Column, endings: list[str]) -> Column:
 
 
 def list_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, file_name, group_id, image_hash, content) of the image files in a folder, one row per path."""
+    """(path, file_name, group_id, image_hash, content) of the image files in a folder, one row per path.
+
+    Files without a byte are not listed, since Spark's reader passes over them.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     rows = rows.where(has_ending(F.col("path"), DEEP if recursive else FLAT))
     name = F.element_at(F.split("path", "/"), -1)
@@ -55,7 +59,7 @@ def image_size(data: bytes | None) -> str:
     return "unreadable"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def image_size_of(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in content:
         yield part.map(image_size)

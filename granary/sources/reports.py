@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,9 +94,51 @@ def data_link(data: bytes, kind: str) -> str:
     return f"data:{kind};base64,{base64.b64encode(data).decode()}"
 
 
-def write_splits(samples: DataFrame, path: str) -> None:
-    """Samples (split and others) as one folder per split."""
-    samples.write.mode("overwrite").partitionBy("split").parquet(path)
+def write_splits(samples: DataFrame, path: str, image: str = "image", labels: str = "labels", name: str = "output_name") -> None:
+    """The split tree: folders of images and of labels by split, under their output names, and a manifest.
+
+    samples: split, output_name (unique), the image's bytes and the label file's text; null contents give no row in that folder.
+    All is written to a folder of its own beside `path`, whose manifest comes last; then it takes the place of `path`
+    in one rename, the tree before it having moved aside. So a failed run leaves the old tree, a repeated one gives the
+    same, and readers of `read_splits` never see a part.
+    """
+    spark = samples.sparkSession
+    fs, at = _files(spark, path)
+    fresh, old = at.suffix(f".{uuid.uuid4().hex}.new"), at.suffix(f".{uuid.uuid4().hex}.old")
+    try:
+        ending = F.regexp_extract(name, r"(\.[^.]*)?$", 0)
+        stem = F.expr(f"substring(`{name}`, 1, length(`{name}`) - length(regexp_extract(`{name}`, '([.][^.]*)?$', 0)))")
+        for kind, content, shown in (("images", image, F.col(name)), ("labels", labels, F.concat(stem, F.lit(".txt")))):
+            rows = samples.where(F.col(content).isNotNull()).select("split", shown.alias("name"), F.col(content).alias("content"))
+            rows.write.partitionBy("split").parquet(f"{fresh}/{kind}")
+        manifest = samples.select("split", F.col(name).alias("name"), ending.alias("ending"), F.sha2(F.col(image), 256).alias("image_sha256"), F.sha2(F.coalesce(labels, F.lit("")), 256).alias("labels_sha256"))
+        manifest.write.parquet(f"{fresh}/manifest")
+        fs.mkdirs(at.getParent())
+        moved = fs.exists(at)
+        if moved and not fs.rename(at, old):
+            raise OSError(f"can't move {path} aside")
+        if not fs.rename(fresh, at):
+            if moved:
+                fs.rename(old, at)
+            raise OSError(f"can't put the new tree in the place of {path}")
+        fs.delete(old, True)
+    finally:
+        fs.delete(fresh, True)
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """(split, name, ending, image_sha256, labels_sha256, image, labels) of a split tree, by its manifest."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    images = spark.read.parquet(f"{path}/images").select("split", "name", F.col("content").alias("image"))
+    labels = spark.read.parquet(f"{path}/labels").select("split", F.col("name").alias("_label"), F.col("content").alias("labels"))
+    label = F.concat(F.expr("substring(name, 1, length(name) - length(ending))"), F.lit(".txt"))
+    return manifest.join(images, ["split", "name"], "left").withColumn("_label", label).join(labels, ["split", "_label"], "left").drop("_label")
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, as Spark reaches it, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def visible_models(files: DataFrame, rank: dict[str, int]) -> DataFrame:
