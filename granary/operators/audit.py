@@ -36,10 +36,11 @@ def size_histogram(images: DataFrame, size: str = "size") -> DataFrame:
 
 
 def filled_balance(balance: DataFrame, splits: list[str], classes: list, split: str, cls: str) -> DataFrame:
-    """`class_balance` with a row of zeros for each split and class that has none."""
-    spark = balance.sparkSession
-    grid = spark.createDataFrame([(s,) for s in splits], f"{split} string").crossJoin(spark.createDataFrame([(c,) for c in classes], f"{cls} {dict(balance.dtypes)[cls]}"))
-    return grid.join(balance, [split, cls], "left").fillna(0, ["instances", "images"])
+    """`class_balance` with a row of zeros for each split, and the null one of totals, and each class that has none."""
+    spark, kinds = balance.sparkSession, dict(balance.dtypes)
+    grid = spark.createDataFrame([(s, c) for s in [*splits, None] for c in classes], f"_split {kinds[split]}, _cls {kinds[cls]}")  # two given lists
+    told = grid.join(balance, F.col(split).eqNullSafe(F.col("_split")) & (F.col(cls) == F.col("_cls")), "left")
+    return told.select(F.col("_split").alias(split), F.col("_cls").alias(cls), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("instances", "images")])
 
 
 def missing_names(images: DataFrame, files: DataFrame, key: str) -> DataFrame:

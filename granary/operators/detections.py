@@ -75,8 +75,15 @@ def to_image(detections: DataFrame) -> DataFrame:
 
 
 def merge_tiles(whole: DataFrame, tiled: DataFrame, cls: str, allowed: list[str], key: str = "image", iou: float = 0.3) -> DataFrame:
-    """Full-frame detections of all classes with tile detections of the allowed ones, without what overlaps in a class."""
-    both = whole.unionByName(tiled.where(F.lower(cls).isin([a.lower() for a in allowed])), allowMissingColumns=True)
+    """Full-frame detections of all classes with tile detections of the allowed ones, without what overlaps in a class.
+
+    `tiled` has the tile's corner (x0, y0); an image of one tile has no full frame, and its detections of all classes count.
+    """
+    single = tiled.groupBy(key).agg((F.count_distinct("x0", "y0") == 1).alias("_one"))
+    framed = whole.select(F.col(key).alias("_framed")).distinct()
+    told = tiled.join(single, key).join(framed, F.col(key) == F.col("_framed"), "left")
+    kept = told.where(F.lower(cls).isin([a.lower() for a in allowed]) | (F.col("_one") & F.col("_framed").isNull()))
+    both = whole.unionByName(to_image(kept).drop("_one", "_framed", "x0", "y0"), allowMissingColumns=True)
     return class_nms(both, [key, cls], iou)
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.text import points_text
+
 
 def union_splits(parts: dict[str, DataFrame]) -> DataFrame:
     """All splits as one table with a column `split`; columns that a split lacks are null there."""
@@ -56,13 +58,17 @@ def geometry_rows(items: DataFrame) -> DataFrame:
     """The table of measured shapes: branch points are N/A where the method follows no skeleton.
 
     `items` has instance_id, detection_index, class, confidence, length_px, angle_deg, geometry_method, status and
-    the arrays endpoints and branch_points.
+    the arrays endpoints and branch_points of (x, y). Column names are fixed values.
     """
     method = F.coalesce("geometry_method", F.lit("clean_overlay"))
     followed = method.contains("longest_path") | method.contains("skeleton")
-    shown = lambda points: F.concat_ws("; ", F.transform(points, lambda p: F.concat(F.lit("("), p["x"].cast("string"), F.lit(", "), p["y"].cast("string"), F.lit(")"))))
     return items.select(
         F.col("instance_id").alias("Instance"), F.col("detection_index").alias("Detection Index"), F.col("class").alias("Class"), F.col("confidence").alias("Confidence"),
-        F.col("length_px").alias("Length (px)"), F.col("angle_deg").alias("Angle (deg)"), method.alias("Method"), F.size("endpoints").alias("Endpoint Count"),
-        F.when(followed, shown("branch_points")).otherwise("N/A").alias("Branch Points"), F.when(followed, F.size("branch_points").cast("string")).otherwise("N/A").alias("Branch Point Count"), F.col("status").alias("Status"),
+        F.col("length_px").alias("Length (px)"), F.col("angle_deg").alias("Angle (deg)"), method.alias("Method"), points_text(F.col("endpoints")).alias("Endpoints"), F.size("endpoints").alias("Endpoint Count"),
+        F.when(followed, points_text(F.col("branch_points"))).otherwise("N/A").alias("Branch Points"), F.when(followed, F.size("branch_points").cast("string")).otherwise("N/A").alias("Branch Point Count"), F.col("status").alias("Status"),
     )
+
+
+def class_rows(rows: DataFrame, target: str, cls: str = "Class") -> DataFrame:
+    """One row (n): how many measured shapes are of the class, but for case; 0 for none."""
+    return rows.agg(F.count_if(F.lower(cls) == target.lower()).alias("n"))

@@ -421,6 +421,28 @@ def split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.search(_grouped(spark, sf_dir), "grp", "image", "cls")
 
 
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = lambda x, y: F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"))
+    method = F.when(F.col("l_linenumber") == 1, "longest_path").when(F.col("l_linenumber") == 2, "t_profile_skeleton").when(F.col("l_linenumber") == 3, "mask_axis")
+    return _lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("detection_index"), F.when(F.col("l_returnflag") == "R", "I-Beam").otherwise(F.col("l_returnflag")).alias("class"), F.col("conf").alias("confidence"),
+        F.col("l_quantity").alias("length_px"), F.col("l_tax").alias("angle_deg"), method.alias("geometry_method"), F.array(point("l_partkey", "l_suppkey"), point("l_suppkey", "l_quantity")).alias("endpoints"),
+        F.when(F.col("l_linenumber") == 2, F.array().cast("array<struct<x:int,y:int>>")).otherwise(F.array(point("l_linenumber", "l_quantity"))).alias("branch_points"), F.col("l_linestatus").alias("status"),
+    )
+
+
+@_query("""SELECT l_orderkey AS Instance, l_linenumber AS "Detection Index", CASE l_returnflag WHEN 'R' THEN 'I-Beam' ELSE l_returnflag END AS Class, l_discount * 10 AS Confidence, l_quantity AS "Length (px)", l_tax AS "Angle (deg)",
+CASE l_linenumber WHEN 1 THEN 'longest_path' WHEN 2 THEN 't_profile_skeleton' WHEN 3 THEN 'mask_axis' ELSE 'clean_overlay' END AS Method, '(' || l_partkey || ', ' || l_suppkey || '); (' || l_suppkey || ', ' || trunc(l_quantity)::INT || ')' AS Endpoints, 2 AS "Endpoint Count",
+CASE l_linenumber WHEN 1 THEN '(1, ' || trunc(l_quantity)::INT || ')' WHEN 2 THEN '' ELSE 'N/A' END AS "Branch Points", CASE l_linenumber WHEN 1 THEN '1' WHEN 2 THEN '0' ELSE 'N/A' END AS "Branch Point Count", l_linestatus AS Status FROM lineitem""")
+def geometry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.geometry_rows(_shapes(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R'")
+def beam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.class_rows(samples.geometry_rows(_shapes(spark, sf_dir)), "i-beam")
+
+
 @_query("SELECT folder, name, rank FROM (SELECT n_name AS folder, s_name AS name, n_regionkey AS rank, row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3) WHERE k = 1")
 def model_registry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = _t(spark, sf_dir, "nation")
@@ -507,7 +529,9 @@ def audit_label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.label_states(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")), files, files.where("l_returnflag = 'R'"), "image")
 
 
-@_query("SELECT o.split, c.cls, count(l_orderkey) AS instances, count(DISTINCT l_orderkey) AS images FROM (VALUES ('F'), ('O'), ('X')) o(split) CROSS JOIN (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON o_orderstatus = o.split AND l_returnflag = c.cls GROUP BY 1, 2")
+@_query("""WITH r AS (SELECT o_orderstatus AS split, l_returnflag AS cls, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT o.split, c.cls, count(l_orderkey) AS instances, count(DISTINCT l_orderkey) AS images FROM (VALUES ('F'), ('O'), ('X')) o(split) CROSS JOIN (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN r ON r.split = o.split AND r.cls = c.cls GROUP BY 1, 2
+UNION ALL SELECT NULL, c.cls, count(l_orderkey), count(DISTINCT l_orderkey) FROM (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN r ON r.cls = c.cls GROUP BY 2""")
 def audit_filled_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("split"), F.col("l_returnflag").alias("cls"), F.col("l_orderkey").alias("image"))
     return audit.filled_balance(audit.class_balance(rows, "split", "cls", "image"), ["F", "O", "X"], ["A", "R", "Z"], "split", "cls")

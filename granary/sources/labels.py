@@ -58,6 +58,23 @@ def source_group(file_name: Column) -> Column:
 
 
 def label_path(image_path: Column) -> Column:
-    """Path of the label file: the last `images` folder becomes `labels`, the ending becomes .txt."""
-    swapped = F.regexp_replace(image_path, r"(?i)^(.*/)?images(/(?!.*/images/).*)$", "$1labels$2")
-    return F.regexp_replace(swapped, r"\.[^./]*$", ".txt")
+    """Path of the label file: the last `images` folder becomes `labels`, the ending becomes .txt.
+
+    A path without such a folder leads to `labels` beside the image's folder.
+    """
+    swapped = F.regexp_replace(image_path, r"(?i)^(.*/)?images(/(?!(.*/)?images/).*)$", "$1labels$2")
+    own = F.regexp_replace(swapped, r"\.[^./]*$", ".txt")
+    return F.when(swapped != image_path, own).otherwise(label_path_beside(image_path))
+
+
+def label_path_beside(image_path: Column) -> Column:
+    """Path of the label file in the folder `labels` beside the image's folder."""
+    return F.regexp_replace(image_path, r"^(.*/)?[^/]*/([^/]*?)(\.[^./]*)?$", "$1labels/$2.txt")
+
+
+def image_class_counts(images: DataFrame, files: DataFrame, key: str, text: str, classes: int) -> DataFrame:
+    """(key, class_id, gt_count) for every image and class: an image without a label file has zeros, lines whose class
+    is no number or out of range count nowhere."""
+    per = parse_labels(files, key, text, classes, "skip").groupBy(key).agg(*[F.count_if(F.col("class_id") == c).alias(f"_c{c}") for c in range(classes)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("class_id"), F.coalesce(f"_c{c}", F.lit(0)).alias("gt_count")) for c in range(classes)])).alias("e")
+    return images.select(key).join(per, key, "left").select(key, each).select(key, "e.*")
