@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,10 +26,6 @@ def clip(value: Column, size: Column) -> Column:
     return F.least(F.greatest(F.rint(value), F.lit(0.0)), size - 1).cast("int")
 
 
-def step_weight(dx: Column, dy: Column) -> Column:
-    return F.when((dx != 0) & (dy != 0), math.sqrt(2)).otherwise(1.0)
-
-
 def polyline_length(xs: Column, ys: Column) -> Column:
     """Length of a line through points given by two arrays."""
     n = F.size(xs)

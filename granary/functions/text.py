@@ -44,7 +44,3 @@ def form_number(value: Column, default: float) -> Column:
 def form_size(value: Column) -> Column:
     asked = value.try_cast("int")
     return F.when(asked.isin(640, 1024), asked).otherwise(1024)
-
-
-def class_name(name: Column, class_id: Column) -> Column:
-    return F.coalesce(name, class_id.cast("string"))

@@ -50,21 +50,21 @@ def runs(pixels: DataFrame, *keys: str) -> DataFrame:
     return placed.groupBy(*keys, "y", "_gap").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_gap")
 
 
-def touching(numbered: DataFrame, *keys: str) -> DataFrame:
-    """(a, b): ids of runs (keys, y, x0, x1, id) of neighbouring rows that touch, corners included."""
+def touching(numbered: DataFrame, *keys: str, diagonal: bool = True) -> DataFrame:
+    """(a, b): ids of runs (keys, y, x0, x1, id) of neighbouring rows that touch, corners included if `diagonal`."""
     pair = F.explode(F.array(F.struct(F.col("y").alias("pair"), F.lit(True).alias("upper")), F.struct((F.col("y") - 1).alias("pair"), F.lit(False).alias("upper")))).alias("p")
     both = numbered.select(*keys, "x0", "x1", "id", pair).select(*keys, "x0", "x1", "id", "p.pair", "p.upper")
     # of equal starts, the upper run comes first and the lower one looks at it; a run sees the last one of the other row
     before = Window.partitionBy(*keys, "pair").orderBy("x0", F.desc("upper")).rowsBetween(Window.unboundedPreceding, -1)
     last = lambda upper: F.last(F.when(F.col("upper") == upper, F.struct("id", "x1")), ignorenulls=True).over(before)
     seen = both.withColumn("_other", F.when(F.col("upper"), last(False)).otherwise(last(True)))
-    return seen.where(F.col("_other.x1") + 1 >= F.col("x0")).select(F.col("id").alias("a"), F.col("_other.id").alias("b"))
+    return seen.where(F.col("_other.x1") + int(diagonal) >= F.col("x0")).select(F.col("id").alias("a"), F.col("_other.id").alias("b"))
 
 
-def labelled_runs(pixels: DataFrame, *keys: str, tables: Tables) -> DataFrame:
+def labelled_runs(pixels: DataFrame, *keys: str, tables: Tables, diagonal: bool = True) -> DataFrame:
     """(keys, y, x0, x1, label): runs with their component; label is a number that its runs share, any number."""
     numbered = tables.write(tables.write(runs(pixels, *keys)).withColumn("id", F.monotonically_increasing_id()))
-    of = connected(touching(numbered, *keys), tables)
+    of = connected(touching(numbered, *keys, diagonal=diagonal), tables)
     return numbered.join(of, F.col("id") == F.col("node"), "left").select(*keys, "y", "x0", "x1", F.coalesce("component", "id").alias("label"))
 
 

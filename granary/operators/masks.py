@@ -1,138 +1,78 @@
-"""Instance masks, one row each: cleaning, isolation from neighbours and measures.
-
-A mask is a row of (h, w, mask) with mask one byte per pixel. Kernels are NumPy over one mask; Spark deals out rows.
-"""
+"""Instance masks as pixel rows (keys, x, y): morphology by counting, holes and components by runs, isolation by coverage."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import components
+from granary.shared import Tables
+
+#: From how many instances, and which share of bricks, an image is a dense stack.
 DENSE_COUNT, DENSE_SHARE = 80, 0.8
+#: Least pixels of a refined mask and width of its closing, by whether it is a beam.
+LEAST, WIDTH = {True: 30, False: 20}, {True: 5, False: 3}
 
 
-def disk(size: int) -> np.ndarray:
-    """Elliptic neighbourhood of an odd size."""
+def disk(size: int) -> list[tuple[int, int]]:
+    """Offsets of an elliptic neighbourhood of an odd size; 3 is the cross."""
     r = size // 2
-    y, x = np.mgrid[-r : r + 1, -r : r + 1]
-    return x * x + y * y <= r * r + (r > 1) * r
-
-
-CROSS = disk(3)
-
-
-def _shifted(mask: np.ndarray, shape: np.ndarray, outside: bool) -> Iterator[np.ndarray]:
-    r = shape.shape[0] // 2
-    wide = np.pad(mask, r, constant_values=outside)
-    for y, x in zip(*np.nonzero(shape), strict=True):
-        yield wide[y : y + mask.shape[0], x : x + mask.shape[1]]
-
-
-def erode(mask: np.ndarray, shape: np.ndarray = CROSS) -> np.ndarray:
-    return np.logical_and.reduce(list(_shifted(mask, shape, True)))
-
-
-def dilate(mask: np.ndarray, shape: np.ndarray = CROSS) -> np.ndarray:
-    return np.logical_or.reduce(list(_shifted(mask, shape, False)))
-
-
-def label_components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """0 outside, else the number of the component, in order of its first pixel."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    shape = np.ones((3, 3), bool) if diagonal else CROSS
-    while True:
-        low = np.minimum.reduce([np.where(x > 0, x, mask.size + 1) for x in _shifted(label, shape, False)])
-        low = np.where(mask, np.minimum(label, low), 0)
-        low = np.where(mask, np.append(0, low.ravel())[low], 0)  # a label's own label: components shrink by halves
-        if (low == label).all():
-            return np.unique(label, return_inverse=True)[1].reshape(mask.shape) if not mask.all() else np.ones(mask.shape, int)
-        label = low
-
+    return [(x, y) for y in range(-r, r + 1) for x in range(-r, r + 1) if x * x + y * y <= r * r + (r > 1) * r]
 
-def largest_component(mask: np.ndarray, least: int = 50) -> np.ndarray:
-    """The largest component, the first of equal ones; nothing if it has fewer than `least` pixels."""
-    if not mask.any():
-        return mask
-    size = np.bincount(label_components(mask).ravel())
-    size[0] = 0
-    label = label_components(mask)
-    return label == int(size.argmax()) if size.max() >= least else np.zeros_like(mask)
 
+def _moved(points: DataFrame, keys: tuple[str, ...], shape: list[tuple[int, int]]) -> DataFrame:
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in shape])).alias("s")
+    return points.select(*keys, "x", "y", steps).select(*keys, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"))
 
-def fill_holes(mask: np.ndarray) -> np.ndarray:
-    outer = label_components(np.pad(~mask, 1, constant_values=True), diagonal=False)
-    return ~(outer == outer[0, 0])[1:-1, 1:-1]
 
+def eroded(points: DataFrame, *keys: str, size: int = 3) -> DataFrame:
+    """Pixels whose whole neighbourhood is set: those that as many moved copies cover as it has places.
 
-def bounding_box(mask: np.ndarray) -> tuple[int, int, int, int] | None:
-    ys, xs = np.nonzero(mask)
-    return (int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max())) if len(xs) else None
-
-
-def refine(mask: np.ndarray, cls: str) -> np.ndarray:
-    """Opening, closing, holes filled, largest component: on the mask's own box and a small margin."""
-    box = bounding_box(mask)
-    if box is None:
-        return mask
-    thick = cls.lower() == "i-beam"
-    x1, y1, x2, y2 = box
-    part = mask[max(0, y1 - 3) : y2 + 4, max(0, x1 - 3) : x2 + 4]
-    part = dilate(erode(part))
-    near = disk(5 if thick else 3)
-    part = largest_component(fill_holes(erode(dilate(part, near), near)), 30 if thick else 20)
-    out = np.zeros_like(mask)
-    out[max(0, y1 - 3) : y2 + 4, max(0, x1 - 3) : x2 + 4] = part
-    return out
-
-
-def resize(mask: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres, then above one half."""
-    y, x = (np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in ((h, mask.shape[0]), (w, mask.shape[1])))
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, mask.shape[0] - 1), np.minimum(x0 + 1, mask.shape[1] - 1)
-    fy, fx, m = (y - y0)[:, None], (x - x0)[None], mask.astype(float)
-    return (m[np.ix_(y0, x0)] * (1 - fy) * (1 - fx) + m[np.ix_(y0, x1)] * (1 - fy) * fx + m[np.ix_(y1, x0)] * fy * (1 - fx) + m[np.ix_(y1, x1)] * fy * fx) > 0.5
-
-
-def of_row(row) -> np.ndarray:
-    return np.frombuffer(row["mask"], np.uint8).reshape(row["h"], row["w"]).astype(bool)
-
-
-def refine_masks(rows: DataFrame, cls: str = "class_name") -> DataFrame:
-    """`rows` (h, w, mask, class) with refined masks and area."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            made = [refine(of_row(r), r[cls] or "") for _, r in pdf.iterrows()]
-            yield pdf.assign(mask=[m.astype(np.uint8).tobytes() for m in made], area=[int(m.sum()) for m in made])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInPandas(run, f"{schema}, area long")
-
+    `points` has each pixel once; beyond the picture nothing is set.
+    """
+    shape = disk(size)
+    return _moved(points, keys, shape).groupBy(*keys, "x", "y").agg(F.count("*").alias("_n")).where(F.col("_n") == len(shape)).drop("_n")
 
-def pixels(rows: DataFrame, *keys: str) -> DataFrame:
-    """(keys, x, y) of all set pixels."""
-    kinds = dict(rows.dtypes)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for _, r in pdf.iterrows():
-                y, x = np.nonzero(of_row(r))
-                yield pd.DataFrame({**{k: [r[k]] * len(x) for k in keys}, "x": x, "y": y})
+def dilated(points: DataFrame, *keys: str, size: int = 3) -> DataFrame:
+    return _moved(points, keys, disk(size)).distinct()
 
-    own = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return rows.select(*keys, "h", "w", "mask").mapInPandas(run, f"{own}, x int, y int")
 
+def filled(points: DataFrame, *keys: str) -> DataFrame:
+    """Pixels with the holes of each mask: background that has no way to the edge of the mask's box, sideways or up and down.
 
-def eroded_pixels(points: DataFrame, *keys: str) -> DataFrame:
-    """Pixels whose four neighbours are set too: the small erosion as a count of shifted copies."""
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
-    moved = points.withColumn("_s", F.explode(steps)).select(*keys, (F.col("x") + F.col("_s.dx")).alias("x"), (F.col("y") + F.col("_s.dy")).alias("y"))
-    return moved.groupBy(*keys, "x", "y").agg(F.count("*").alias("_n")).where("_n = 5").drop("_n")
+    The background of a box is as large as the box: masks should be the size of objects.
+    """
+    tables = Tables(points.sparkSession)
+    box = points.groupBy(*keys).agg(F.min("x").alias("_l"), F.max("x").alias("_r"), F.min("y").alias("_t"), F.max("y").alias("_b"))
+    cells = box.withColumn("y", F.explode(F.sequence(F.col("_t") - 1, F.col("_b") + 1))).withColumn("x", F.explode(F.sequence(F.col("_l") - 1, F.col("_r") + 1)))
+    same = F.lit(True)
+    told = points.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("x").alias("_x"), F.col("y").alias("_y"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    free = tables.write(cells.select(*keys, "x", "y", "_t").join(told, same & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"))
+    found = tables.write(components.labelled_runs(free, *keys, tables=tables, diagonal=False))
+    # the component that holds the box's outer frame is outside; it begins in the row above the mask
+    outside = found.join(box.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_t") - 1).alias("_first")), same & (F.col("y") == F.col("_first")), "left_semi").select("label").distinct()
+    holes = found.join(outside, "label", "left_anti").select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+    return tables.keep(points.select(*keys, "x", "y").unionByName(holes))
+
+
+def refined(points: DataFrame, *keys: str, beam: bool = False) -> DataFrame:
+    """Opened, closed, filled and largest component of each mask; masks that end with too few pixels are gone.
+
+    `beam` closes wider gaps and asks for more pixels, as thin long shapes need. Repeated pixels count once.
+    """
+    tables = Tables(points.sparkSession)
+    own = points.select(*keys, "x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    opened = dilated(eroded(own, *keys), *keys)
+    closed = tables.write(eroded(dilated(opened, *keys, size=WIDTH[beam]), *keys, size=WIDTH[beam]))
+    whole = components.largest_component(filled(closed, *keys), *keys)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    enough = whole.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST[beam]).drop("_n")
+    return whole.join(enough, same, "left_semi")
 
 
 def isolate(points: DataFrame, image: str, instance: str, cls: str | None = None) -> DataFrame:
@@ -141,7 +81,7 @@ def isolate(points: DataFrame, image: str, instance: str, cls: str | None = None
     Coverage is one sum per pixel of an image, not a comparison of pairs. With `cls` given, images of at least 80
     instances, four fifths of them bricks, are left as they are.
     """
-    cover = eroded_pixels(points, image, instance)
+    cover = eroded(points, image, instance)
     total = cover.groupBy(image, "x", "y").agg(F.count("*").alias("_all"))
     own = cover.withColumn("_own", F.lit(1))
     marked = points.join(total, [image, "x", "y"], "left").join(own, [image, instance, "x", "y"], "left")

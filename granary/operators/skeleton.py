@@ -47,15 +47,6 @@ def principal_axis(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), axis_angle(F.col("x"), F.col("y")).alias("angle_deg"))
 
 
-def axis_ends(points: DataFrame, *keys: str) -> DataFrame:
-    """(keys, angle_deg, first, last, length_px): the points furthest apart along the principal axis."""
-    axis = principal_axis(points, *keys)
-    along = F.col("x") * F.cos(F.radians("angle_deg")) + F.col("y") * F.sin(F.radians("angle_deg"))
-    rows = points.join(axis, list(keys)).withColumn("_t", along).withColumn("_p", F.struct("x", "y"))
-    out = rows.groupBy(*keys).agg(F.first("angle_deg").alias("angle_deg"), F.min(F.struct("_t", "_p"))["_p"].alias("first"), F.max(F.struct("_t", "_p"))["_p"].alias("last"), (F.max("_t") - F.min("_t")).alias("length_px"))
-    return out
-
-
 def axis_line(points: DataFrame, *keys: str) -> DataFrame:
     """(keys, angle_deg, length_px, first_x, first_y, last_x, last_y, status): the line through a mask's centre along
     its axis, as far as its pixels reach. Fewer than two pixels or equal ones give no line and a status to review."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import geometry, text
-from granary.operators import audit, balance, components, counts, dedupe, detections, distance, latency, samples, skeleton, split
+from granary.operators import audit, balance, components, counts, dedupe, detections, distance, latency, masks, samples, skeleton, split
 from granary.sources import labels, reports
 
 CLASSES = ["A", "N", "R"]
@@ -339,6 +339,21 @@ def distance_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.distance_transform(_pixels(spark, sf_dir).select((F.col("i") % 10).alias("i"), "x", "y"), "i")
 
 
+@_query("""WITH p AS (SELECT DISTINCT l_suppkey % 20 AS image, l_suppkey AS i, (l_partkey % 16)::INT AS x, trunc(l_quantity)::INT % 12 AS y FROM lineitem),
+e AS (SELECT image, i, x + dx AS x, y + dy AS y FROM p, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) s(dx, dy) GROUP BY ALL HAVING count(*) = 5)
+SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.image = p.image AND e.i <> p.i AND e.x = p.x AND e.y = p.y)""")
+def isolated_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("image"), F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 16).cast("int").alias("x"), (F.col("l_quantity").cast("int") % 12).alias("y")).distinct()
+    return masks.isolate(rows, "image", "i")
+
+
+@_query()
+def nail_profile_from_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = _t(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("i"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_quantity").cast("int") % 12).alias("y"))
+    largest, ridge = distance.nail_masks(dense, "i")
+    return skeleton.t_profile(largest, "i", skeleton=ridge)
+
+
 _CLUSTERS = """WITH RECURSIVE p AS (SELECT DISTINCT l_suppkey AS i, (l_partkey % 64)::INT AS x, trunc(l_quantity)::INT AS y FROM lineitem),
 near AS (SELECT a.i, a.x, a.y, b.x AS nx, b.y AS ny FROM p a JOIN p b ON a.i = b.i AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),
 q AS ({of}),

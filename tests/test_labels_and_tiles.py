@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from granary.functions import geometry
 from granary.operators import detections
 from granary.sources import labels
 
@@ -47,3 +48,9 @@ def test_merge_tiles(spark):
     got = Counter(tuple(r) for r in detections.merge_tiles(whole, tiled, "cls", ["nail"]).select("image", "cls", "x1", "conf").collect())
     # the tile's nail wins over the frame's weaker one; bricks of tiles count only where the image is one tile
     assert got == Counter([(1, "Brick", 0.0, 0.9), (1, "nail", 700.0, 0.8), (1, "NAIL", 700.0, 0.8), (2, "Brick", 5.0, 0.7), (2, "nail", 5.0, 0.6)])
+
+
+def test_line_angles_and_clipped_points(spark):
+    df = spark.createDataFrame([(a, v) for a, v in ((91.0, -3.2), (-90.0, 2.5), (90.0, 9.6), (-91.0, 3.5), (12.5, 0.0))], "a double, v double")
+    got = df.select(geometry.line_angle(F.col("a")), geometry.clip(F.col("v"), F.lit(10))).collect()
+    assert [tuple(r) for r in got] == [(-89.0, 0), (90.0, 2), (90.0, 9), (89.0, 4), (12.5, 0)]
