@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +105,13 @@ def free_name(name: str, df: DataFrame) -> str:
     return name
 
 
+def plainly_named(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`df` with names that an Arrow step can resolve in place of those with dots or backticks, and what puts them back."""
+    own = {free_name(f"_column{k}", df): c for k, c in enumerate(df.columns) if "." in c or "`" in c}
+    back = {c: n for n, c in own.items()}
+    return df.toDF(*[back.get(c, c) for c in df.columns]), lambda out: out.toDF(*[own.get(c, c) for c in out.columns])
+
+
 def bounds(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 

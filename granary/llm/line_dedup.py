@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import ascii_lower, chunks, free_name, written
+from granary.llm.common import ascii_lower, chunks, free_name, plainly_named, written
 
 MIN_CHARS = 10
 _SPACE = " \t\n\x0b\x0c\r"
@@ -129,4 +129,5 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     text is one empty line and comes out empty; rows that repeat a doc_id, or have none, count as one document, and
     rows without one lose a shared line to any other; an empty table gives an empty result.
     """
-    return apply_bitmaps(docs, keep_bitmaps(docs, min_chars))
+    docs, named = plainly_named(docs)
+    return named(apply_bitmaps(docs, keep_bitmaps(docs, min_chars)))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounds, chunks, word_codes
+from granary.llm.common import bounds, chunks, plainly_named, word_codes
 
 SIZE = 1 << 18
 #: Rated documents used to fit the model: those with the smallest hashes of their ids.
@@ -135,7 +135,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, model: Ordi
     Columns of `docs` of the three names are replaced, all others stay; rows and ids may repeat, and an empty table
     gives an empty result.
     """
-    docs = docs.drop("expected_grade", "tail_probability", "kept")
+    docs, named = plainly_named(docs.drop("expected_grade", "tail_probability", "kept"))
     told = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     names = docs.columns
 
@@ -146,4 +146,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame | None = None, model: Ordi
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(above.sum(1)), pa.array(above[:, -1]), pa.array(above[:, -1] >= min_tail)], names=[*names, "expected_grade", "tail_probability", "kept"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(score, f"{schema}, expected_grade double, tail_probability double, kept boolean")
+    return named(docs.mapInArrow(score, f"{schema}, expected_grade double, tail_probability double, kept boolean"))

@@ -85,3 +85,13 @@ def test_stages_take_odd_documents(spark, tables, tmp_path):
         rows.collect()
         assert k + 1 == len(corpus_pipeline.STAGES) or rows.columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+
+
+def test_columns_with_dots_stay(spark):
+    docs = spark.createDataFrame([(1, "a shared line of text\nx", 5, 1), (2, "a shared line of text\ny", 6, 2)], "doc_id long, text string, `a.b` int, `_column2` int")
+    kept = line_dedup.line_dedup(docs)
+    assert kept.columns == ["doc_id", "text", "a.b", "_column2", "n_lines", "n_dropped"]
+    assert {tuple(r) for r in kept.collect()} == {(1, "a shared line of text\nx", 5, 1, 2, 0), (2, "y", 6, 2, 2, 1)}
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = quality_classifier.quality_scores(docs, labels)
+    assert scored.columns[:4] == docs.columns and {r["a.b"] for r in scored.collect()} == {5, 6}
