@@ -69,12 +69,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their ids, their sequence and their place in it; `packing.sequences` joins them.
+    """Pieces of at most 2048 tokens with their checksum, their sequence and their place in it.
 
     Every row is packed, repeated ones each for itself; null and empty texts are one piece of the ending alone; long
-    ones are cut into pieces whole; an empty table stays empty.
+    ones are cut into pieces whole; an empty table stays empty. Token ids would have to be shuffled with the pieces,
+    which takes twice the stage's disk budget; `packing.pack` gives them where there is room.
     """
-    return packing.pack(docs)
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [

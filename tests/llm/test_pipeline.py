@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,14 +111,22 @@ def test_packing_holds_the_tokens(planted):
 
     tokenizer = Tokenizer.from_file(packing.default_vocabulary())
     want = Counter()
-    for _, text, *_ in rows(planted[1][4]):
+    for i, text, *_ in rows(planted[1][4]):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
-        want.update(np.array(ids[k : k + 2048], "<u4").tobytes() for k in range(0, len(ids), 2048))
-    packed = planted[1][5]
-    assert Counter(bytes(r["ids"]) for r in packed.collect()) == want
-    whole = packing.sequences(packed).agg(F.max("n_tokens"), F.sum("n_tokens"), F.count("*")).first()
-    assert whole[0] <= 2048 and whole[1] == sum(len(k) // 4 * n for k, n in want.items())
-    assert whole[2] <= 1.05 * whole[1] / 2048 + 2
+        for k in range(0, len(ids), 2048):
+            want[i, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+    packed = planted[1][5].collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
+    places = defaultdict(list)
+    for r in packed:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in places.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+    tokens = sum(k[2] * n for k, n in want.items())
+    assert len(places) <= 1.05 * tokens / 2048 + 2
+    whole = packing.sequences(packing.pack(planted[1][4])).agg(F.max("n_tokens"), F.sum("n_tokens"), F.count("*")).first()
+    assert tuple(whole) == (max(sum(n for _, n in own) for own in places.values()), tokens, len(places))
 
 
 def test_targets_with_repeated_ids(spark):
