@@ -58,7 +58,7 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("limit,merge", [(1 << 15, 1 << 17), (40, 1 << 17), (3, 20), (0, 1 << 17)])
+@pytest.mark.parametrize("limit,merge", [(1 << 15, 1 << 17), (40, 1 << 17), (3, 20)])
 def test_trie_equals_brute_force(spark, conversations, monkeypatch, limit, merge):
     monkeypatch.setattr(prefix_trie, "MERGE_NODES", merge)  # levels of upper nodes are merged one by one beyond it
     table = spark.createDataFrame([(*r, 1, "x", 2) for r in conversations], SCHEMA).repartition(3)

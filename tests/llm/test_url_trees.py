@@ -43,15 +43,15 @@ def test_first_split_by_brute_force(spark):
 def test_mixed_suffix_is_told_apart(spark):
     """One suffix, as many allowed as blocked urls: only features of the url itself can tell them apart."""
     rules = [("org", "/a", "allow"), ("org", "/b", "block")]
-    host = F.concat(F.lit("h"), (F.col("id") % 40).cast("string"), F.lit(".org"))
+    host = F.concat(F.lit("h"), (F.floor(F.col("id") / 2) % 40).cast("string"), F.lit(".org"))
     frame = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host, F.when(F.col("id") % 2 == 0, F.concat(F.lit("/a"), F.col("id") % 9)).otherwise(F.concat(F.lit("/b"), F.repeat(F.lit("73"), 20)))).alias("url"))
-    found = urls.held_out_agreement(frame, rules).first()
-    assert found["n"] == 2000 and found["majority"] == pytest.approx(0.5) and found["agreement"] > 0.95
+    found = urls.held_out_agreement(frame, rules, folds=2).first()
+    assert found["n"] > 500 and found["majority"] == pytest.approx(0.5, abs=0.1) and found["agreement"] > 0.95
     scores = urls.url_filter(frame, rules).groupBy("verdict").agg(F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
     by = {r["verdict"]: r for r in scores}
     assert by["allow"]["hi"] < 0 < by["block"]["lo"]
 
 
 def test_held_out_agreement_on_the_tables(spark):
-    found = urls.held_out_agreement(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).first()
-    assert found["n"] > 1000 and found["agreement"] > found["majority"] + 0.1
+    found = urls.held_out_agreement(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), folds=4).first()
+    assert found["n"] > 400 and found["agreement"] > found["majority"] + 0.1
