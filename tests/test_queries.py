@@ -46,8 +46,8 @@ def test_ratio_score_is_the_score_of_the_sums(spark):
 
 def test_greedy_split_fills_targets():
     images = np.array([10.0] * 20)
-    counts = np.array([[5.0, 10.0]] * 20)
-    to = plans.split._assign(images, counts, np.array([[5.0, 10.0]] * 20), 1, True, plans.split.RATIOS)
+    large = [images, np.array([[5.0, 10.0]] * 20), np.array([[5.0, 10.0]] * 20)]
+    to = plans.split._place(large, [np.zeros(3), np.zeros((3, 2)), np.zeros((3, 2))], [x.sum(0) for x in large], 1, plans.split.RATIOS)
     assert np.bincount(to, minlength=3).tolist() == [14, 3, 3]
 
 
