@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decided = written(mixing.mix(docs).select("doc_id", "source", "size", "nth", F.col("times").cast("int").alias("times")))
     per_id = decided.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max("times").alias("_times")).withColumnRenamed("doc_id", "_id")
     same_id = docs["doc_id"].eqNullSafe(F.col("_id"))
-    taken = docs.join(per_id.where("_rows = 1 AND _times > 0"), same_id).select(*COLUMNS, "_times")
+    taken = docs.join(per_id.where("_rows = 1 AND _times > 0").hint("merge"), same_id).select(*COLUMNS, "_times")
     shared = written(per_id.where("_rows > 1").select("_id"))
     if shared.head(1):
         tables = Tables(spark)
