@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.geometry import tile_starts
+from granary.operators.ordered import changes
 from granary.shared import Tables
 
 #: Boxes of one image and class that a task settles at once; more are settled in rounds, by place.
@@ -136,18 +137,95 @@ def _streamed(detections: DataFrame, keys: list[str], iou: float) -> DataFrame:
     return detections.repartition(*keys).sortWithinPartitions(*order).mapInPandas(run, detections.schema)
 
 
-def _cells(boxes: DataFrame, iou: float) -> DataFrame:
-    """A row for each cell in which a box can meet one that it overlaps by more than `iou`; `_cells` is their number.
+def _tiles(boxes: DataFrame, iou: float) -> DataFrame:
+    """A row for each tile in which a box can meet one that it overlaps by more than `iou`; `_tiles` is their number.
 
-    Overlapping by more than a share, boxes differ in size by less than its inverse, so that a few grids suffice: cells
-    of a grid are as large as its boxes, and a box looks into its own grid and into those of the larger boxes in reach.
+    Overlapping by more than a share, boxes differ in size by less than its inverse. Tiles of a grid are at least twice
+    as large as its boxes, grids are a factor of 16 apart, and a box looks into its own grid and into those of the
+    larger boxes in reach: into one tile mostly, and four of a grid at most.
     """
-    own = F.ceil(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).cast("int")
-    up = max(0, math.ceil(-math.log2(max(iou, 1e-3)) + 1e-9))
-    at = lambda c, g: F.floor(F.col(c) / F.pow(F.lit(2.0), g)).cast("long")
-    across = lambda g: F.flatten(F.transform(F.sequence(at("x1", g), at("x2", g)), lambda x: F.transform(F.sequence(at("y1", g), at("y2", g)), lambda y: F.struct(g.alias("_grid"), x.alias("_cx"), y.alias("_cy")))))
-    every = boxes.withColumn("_all", F.flatten(F.transform(F.sequence(own, own + up), across)))
-    return every.withColumn("_cells", F.size("_all")).withColumn("_at", F.explode("_all")).select(*boxes.columns, "_cells", "_at.*")
+    # what is no box is filtered out, but perhaps later than it is looked at here: bounds keep its tiles few
+    within = lambda v, least: F.least(F.greatest(v, F.lit(least)), F.lit(2e15))
+    side = {c: within(F.col(c).cast("double"), -1e15) for c in ("x1", "y1", "x2", "y2")}
+    size = within(F.greatest(side["x2"] - side["x1"], side["y2"] - side["y1"]), 1e-300)
+    level = lambda s: F.greatest(F.lit(-3), F.ceil(F.log2(s) / 4).cast("int"))
+    top = F.least(F.lit(13), level(size * (1.000001 / iou))) if iou > 1e-12 else F.lit(13)  # no side is longer than 16^13
+    at = lambda c, g: F.floor(side[c] / F.pow(F.lit(16.0), g) / 2).cast("long")
+    span = lambda lo, hi, g: F.sequence(at(lo, g), F.greatest(at(lo, g), at(hi, g)))
+    across = lambda g: F.flatten(F.transform(span("x1", "x2", g), lambda x: F.transform(span("y1", "y2", g), lambda y: F.struct(g.alias("_grid"), x.alias("_cx"), y.alias("_cy")))))
+    every = boxes.withColumn("_all", F.flatten(F.transform(F.sequence(level(size), top), across)))
+    return every.withColumn("_tiles", F.size("_all")).withColumn("_at", F.explode("_all")).select(*boxes.columns, "_tiles", "_at.*")
+
+
+#: What a tile says of a box: not decided, overlapped by no open or kept box there, overlapped by a kept one.
+OPEN, FREE, GONE = 0, 1, 2
+
+
+def _over(box: np.ndarray, others: np.ndarray, iou: float) -> np.ndarray:
+    """Whether each of `others`, four columns in rows, overlaps the box by more than `iou`."""
+    w = np.minimum(box[2], others[2]) - np.maximum(box[0], others[0])
+    h = np.minimum(box[3], others[3]) - np.maximum(box[1], others[1])
+    both = np.maximum(0, w) * np.maximum(0, h)
+    area = (box[2] - box[0]) * (box[3] - box[1]) + (others[2] - others[0]) * (others[3] - others[1]) - both
+    return both > iou * np.maximum(area, 1e-12)
+
+
+def settle(boxes: np.ndarray, kept: np.ndarray, alone: np.ndarray, lead: int, iou: float) -> tuple[np.ndarray, np.ndarray]:
+    """(what the tile says of each box, the boxes that are kept for certain), for boxes from the strongest on.
+
+    `kept` ones come first and are decided; `alone` ones are in no other tile. The `lead` strongest open boxes are
+    compared with all weaker ones, the others of the tile with what is kept only.
+    """
+    said, blocked, sure = np.zeros(len(kept), np.int8), np.zeros(len(kept), bool), []
+    for k in range(min(len(kept), int(kept.sum()) + lead)):
+        if said[k] == GONE:
+            continue
+        if not blocked[k]:
+            said[k] = FREE
+        over = _over(boxes[:, k], boxes[:, k + 1 :], iou)
+        if kept[k] or alone[k] and not blocked[k]:
+            said[k + 1 :][over] = GONE
+            sure.append(k)
+        else:
+            blocked[k + 1 :] |= over
+    return said, boxes[:, sure]
+
+
+def _settled(tile: list[str], lead: int, iou: float):
+    def told(batch: pa.RecordBatch, said: np.ndarray) -> pa.RecordBatch:
+        kept, tiles = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_kept", "_tiles"))
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(said)], names=[*batch.schema.names, "_said"])
+        return out.filter(pa.array(~kept & ((said != GONE) | (tiles > 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, before, front = None, None, None  # front: what is kept of the tile that goes on, its strongest boxes being settled
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            new = changes(batch, before, tile)
+            edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), batch.num_rows]
+            boxes = np.array([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+            kept, alone = batch.column("_kept").to_numpy(zero_copy_only=False), batch.column("_tiles").to_numpy(zero_copy_only=False) == 1
+            said, upto, rest = np.zeros(batch.num_rows, np.int8), batch.num_rows, None
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if front is not None and not new[s]:
+                    for k in range(front.shape[1]):
+                        said[s:e][_over(front[:, k], boxes[:, s:e], iou)] = GONE
+                elif e == batch.num_rows and int((~kept[s:e]).sum()) < lead:
+                    rest, upto = batch.slice(s), s  # the tile may go on
+                else:
+                    said[s:e], front = settle(boxes[:, s:e], kept[s:e], alone[s:e], lead, iou)
+            if upto:
+                yield told(batch.slice(0, upto), said[:upto])
+                before = batch.slice(upto - 1, 1)
+        if rest is not None:
+            boxes = np.array([rest.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")])
+            kept, alone = rest.column("_kept").to_numpy(zero_copy_only=False), rest.column("_tiles").to_numpy(zero_copy_only=False) == 1
+            yield told(rest, settle(boxes, kept, alone, lead, iou)[0])
+
+    return run
 
 
 def overlap(a: str, b: str) -> Column:
@@ -163,40 +241,38 @@ def overlap(a: str, b: str) -> Column:
 def nms_rounds(detections: DataFrame, keys: list[str], iou: float = 0.3, most: int = GROUP, leaders: int = 64) -> DataFrame:
     """`class_nms` for groups of any size, spread over tasks by place.
 
-    A round compares each cell's `leaders` strongest open boxes with the cell's others, so that a crowded cell makes
-    no square of pairs. A box that leads in all its cells has met all stronger ones that it overlaps: it is kept if
-    there is none, and the open boxes that it overlaps go. Groups with at most `most` open boxes left are finished by
-    the task that holds them. Of equal boxes only the strongest takes part; boxes without an area, or with a side
-    that is null or no number, overlap none and stay.
+    A round streams through tiles, in each of which the strongest open boxes, 16 times `leaders` at most, meet the
+    others, so that a crowded tile makes no square of pairs. A box without a stronger open or kept one over it in any
+    of its tiles is kept; one that overlaps a kept one goes. Boxes of one tile are decided there and then, those of
+    several by what all of them say, and when kept they take part once more, to take others away. Groups with at most
+    `most` open boxes left are finished by the task that holds them. Whole rows go along, few of them more than once:
+    nothing is joined. Boxes without an area, or with a side that is null or no number, overlap none and stay.
     """
     if iou >= 1:
         return detections
-    tables = Tables(detections.sparkSession)
-    rows = tables.write(detections.withColumn("_id", F.monotonically_increasing_id()))
-    box, own = ["x1", "y1", "x2", "y2"], [f"_key{i}" for i in range(len(keys))]
-    solid = F.coalesce(reduce(and_, [F.abs(c) < 1e15 for c in box]) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    tables, names = Tables(detections.sparkSession), detections.columns
+    solid = F.coalesce(reduce(and_, [F.abs(c) < 1e15 for c in ("x1", "y1", "x2", "y2")]) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
     conf = F.coalesce(F.col("conf").cast("double"), F.lit(float("-inf")))
-    firsts = rows.where(solid).groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in box]).agg(F.min(F.struct((-conf).alias("worse"), "_id")).alias("r"))
-    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
-    open_ = tables.write(firsts.select(*named, *box, F.struct("r.worse", *box, "r._id").alias("_rank")))
-    cell = [*own, "_grid", "_cx", "_cy"]
-    same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cell])
-    kept = [rows.where(~solid).select("_id")]
-    while open_.groupBy(*own).count().where(F.col("count") > most).head(1):
-        spread = tables.write(_cells(open_, iou))
-        lead = spread.withColumn("_place", F.row_number().over(Window.partitionBy(*cell).orderBy("_rank"))).where(F.col("_place") <= leaders)
-        # a box's sides are part of its rank
-        pairs = tables.write(lead.alias("a").join(spread.alias("b"), same & (F.col("a._rank") < F.col("b._rank")) & (overlap("a._rank", "b._rank") > iou)).select(F.col("a._rank").alias("_by"), F.col("b._rank").alias("_rank")))
-        met = lead.groupBy("_rank").agg(F.count("*").alias("_n"), F.first("_cells").alias("_cells")).where(F.col("_n") == F.col("_cells"))
-        won = tables.write(met.select("_rank").join(pairs.select("_rank"), "_rank", "left_anti"))
-        gone = pairs.join(won.withColumnRenamed("_rank", "_by"), "_by", "left_semi").select("_rank").distinct()
-        rest = tables.write(open_.join(won.unionByName(gone), "_rank", "left_anti"))
-        kept.append(won.select("_rank._id"))
-        tables.drop(open_, spread, pairs)
-        open_ = rest
-    last = _streamed(open_.select(*own, *box, (-F.col("_rank.worse")).alias("conf"), "_rank._id"), own, iou)
-    ids = reduce(DataFrame.unionByName, [*kept, last.select("_id")])
-    return tables.keep(rows.join(ids, "_id", "left_semi").drop("_id"))
+    rows = tables.write(detections.withColumn("_id", F.monotonically_increasing_id()).withColumn("_kept", F.lit(False)))
+    found = [tables.write(rows.where(~solid).select(*names))]
+    open_, old = rows.where(solid), [rows]
+    tile = [*keys, "_grid", "_cx", "_cy"]
+    while open_.where("NOT _kept").groupBy(*keys).count().where(F.col("count") > most).head(1):
+        dealt = _tiles(open_, iou).repartition(*tile).sortWithinPartitions(*tile, F.desc("_kept"), -conf, "x1", "y1", "x2", "y2", "_id")
+        told = tables.write(dealt.mapInArrow(_settled(tile, 16 * leaders, iou), dealt.withColumn("_said", F.lit(0).cast("byte")).schema).drop("_grid", "_cx", "_cy", "_kept"))
+        one = told.where("_tiles = 1").select(*names, "_id", "_tiles", (F.col("_said") == FREE).alias("_kept"))
+        several = told.where("_tiles > 1").groupBy("_id", "_tiles").agg(*[F.first(c).alias(c) for c in names], F.max("_said").alias("_most"), F.count_if(F.col("_said") == FREE).alias("_free"))
+        both = one.unionByName(several.where(F.col("_most") < GONE).select(*names, "_id", "_tiles", (F.col("_free") == F.col("_tiles")).alias("_kept")))
+        won, rest = tables.write(both.where("_kept")), tables.write(both.where("NOT _kept"))
+        tables.drop(told, *old)
+        found.append(won.select(*names))
+        open_, old = rest.unionByName(won.where("_tiles > 1")).drop("_tiles"), [rest]
+    # those kept last come before all others of their group
+    marked = open_.withColumn("_conf", F.col("conf")).withColumn("conf", F.when(F.col("_kept"), float("inf")).otherwise(conf))
+    last = _streamed(marked, keys, iou).where("NOT _kept").withColumn("conf", F.col("_conf")).select(*names)
+    found.append(tables.write(last))
+    tables.drop(*old)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _kept(pdf: pd.DataFrame, edges: np.ndarray, iou: float) -> np.ndarray:

@@ -23,7 +23,7 @@ from granary.shared import Tables
 BLOCK = 1 << 14
 
 
-def _changes(batch: pa.RecordBatch, before: pa.RecordBatch | None, keys: list[str]) -> np.ndarray:
+def changes(batch: pa.RecordBatch, before: pa.RecordBatch | None, keys: list[str]) -> np.ndarray:
     """Whether each row's key is another than the row's before it; nulls are a key of their own."""
     new = np.zeros(batch.num_rows, bool)
     new[0] = before is None
@@ -41,7 +41,7 @@ def _pass(keys: list[str], sums: dict[str, str], types: dict[str, pa.DataType]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = _changes(batch, before, keys)
+            new = changes(batch, before, keys)
             starts = np.flatnonzero(new)
             if held is not None:  # a run ends where the next batch begins with another key
                 yield _marked(held, bool(new[0]), False)

@@ -140,6 +140,31 @@ def test_kept_boxes_overlap_little(spark):
     assert pairs.select(detections.overlap("a", "b").alias("o")).agg(F.max("o")).first()[0] <= 0.3
 
 
+def test_nms_rounds_store_few_rows(spark, monkeypatch):
+    """What the rounds store stays near the boxes' number, however many cells and pairs they have."""
+    rng, stored, write = random.Random(9), [], Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df: (table := write(self, df), stored.append(table.count()))[0])
+    at = [(rng.randrange(200), rng.randrange(200), rng.randrange(1, 51)) for _ in range(600)]
+    df = spark.createDataFrame([("a", float(x), float(y), float(x + s), float(y + s), rng.randrange(11) / 10) for x, y, s in at], "k string, x1 double, y1 double, x2 double, y2 double, conf double")
+    detections.nms_rounds(df, ["k"], 0.3, 256)
+    assert sum(stored) < 5 * 600
+
+
+def test_nms_rounds_see_boxes_of_any_size(spark):
+    rows = [("a", 0.0, 0.0, 5000.0, 5000.0, 0.9)] + [("a", 10.0 * k, 7.0, 10.0 * k + 1, 8.0, 0.5) for k in range(50)]
+    df = spark.createDataFrame(rows, "k string, x1 double, y1 double, x2 double, y2 double, conf double")
+    assert [r["conf"] for r in detections.nms_rounds(df, ["k"], 0.0, 4).collect()] == [0.9]
+
+
+def test_settle_holds_back_what_waits_for_other_tiles():
+    """Of four boxes in a row, each over the next, the first is in other tiles too: nothing is certain but that it is free here."""
+    boxes_ = np.array([[0.0, 0.0, 10.0, 10.0], [3.0, 0.0, 13.0, 10.0], [6.0, 0.0, 16.0, 10.0], [9.0, 0.0, 19.0, 10.0]]).T
+    none, alone = np.zeros(4, bool), np.array([False, True, True, True])
+    assert detections.settle(boxes_, none, alone, 64, 0.3)[0].tolist() == [detections.FREE, detections.OPEN, detections.OPEN, detections.OPEN]
+    assert detections.settle(boxes_, none, ~none, 64, 0.3)[0].tolist() == [detections.FREE, detections.GONE, detections.FREE, detections.GONE]
+    assert detections.settle(boxes_, none, ~none, 1, 0.3)[0].tolist() == [detections.FREE, detections.GONE, detections.OPEN, detections.OPEN]
+
+
 def named(rows):
     """The sequence that names are given in, one sample after the other."""
     used, out = set(), []
