@@ -1,15 +1,23 @@
 """Connected components: of any links, and of masks given as pixels (keys, x, y), eight neighbours each.
 
-Masks become runs of pixels in a row. A run of one row touches a run of the next where their ends come within one
-pixel, and of all runs of the other row that begin no later only the last can touch it: links are found in one sorted
-pass over two rows, not by pairing them. Labels then spread by star contraction over runs.
+Masks become runs of pixels in a row, and those of a tile get their component in the task that holds the tile. Only what
+touches across the sides of tiles is a link between components; labels spread over those by star contraction. A mask
+within one tile needs no link, one of any size no more than its tiles' sides ask for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import pixel_tiles
 from granary.operators.skeleton import degrees
 from granary.shared import Tables
 
@@ -43,29 +51,72 @@ def connected(links: DataFrame, tables: Tables) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def runs(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, y, x0, x1): the runs of set pixels in each row of each mask. Repeated pixels count once."""
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    placed = pixels.select(*keys, "x", "y").distinct().withColumn("_gap", F.col("x") - F.row_number().over(row))
-    return placed.groupBy(*keys, "y", "_gap").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_gap")
-
-
-def touching(numbered: DataFrame, *keys: str, diagonal: bool = True) -> DataFrame:
-    """(a, b): ids of runs (keys, y, x0, x1, id) of neighbouring rows that touch, corners included if `diagonal`."""
-    pair = F.explode(F.array(F.struct(F.col("y").alias("pair"), F.lit(True).alias("upper")), F.struct((F.col("y") - 1).alias("pair"), F.lit(False).alias("upper")))).alias("p")
-    both = numbered.select(*keys, "x0", "x1", "id", pair).select(*keys, "x0", "x1", "id", "p.pair", "p.upper")
-    # of equal starts, the upper run comes first and the lower one looks at it; a run sees the last one of the other row
-    before = Window.partitionBy(*keys, "pair").orderBy("x0", F.desc("upper")).rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda upper: F.last(F.when(F.col("upper") == upper, F.struct("id", "x1")), ignorenulls=True).over(before)
-    seen = both.withColumn("_other", F.when(F.col("upper"), last(False)).otherwise(last(True)))
-    return seen.where(F.col("_other.x1") + int(diagonal) >= F.col("x0")).select(F.col("id").alias("a"), F.col("_other.id").alias("b"))
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node linked with each of the nodes 0 to n - 1: roots are hung under lesser ones, then paths shortened."""
+    root = np.arange(n)
+    while True:
+        one, other = root[a], root[b]
+        apart = one != other
+        if not apart.any():
+            return root
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while True:
+            after = root[root]
+            if (after == root).all():
+                break
+            root = after
+
+
+def _labelled(keys: tuple[str, ...], diagonal: bool, side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, reach, step = TaskContext.get().partitionId() << 33, int(diagonal), side + 4
+        for batch, new, x, y in pixel_tiles.whole(batches, keys, repeats=False):
+            first = np.flatnonzero(new | np.concatenate([[True], (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)]))
+            last = np.append(first[1:] - 1, len(x) - 1)
+            code = pixel_tiles.codes(batch, new, x, y, side)
+            start, end = code[first], code[last]
+            low = np.searchsorted(end, start + step - reach, side="left")
+            many = np.maximum(np.searchsorted(start, end + step + reach, side="right") - low, 0)
+            upper = np.repeat(np.arange(len(first)), many)
+            lower = np.arange(len(upper)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            label = number + _joined(len(first), upper, lower)
+            number += len(first)
+            at, to = pa.array(first), pa.array(last)
+            columns = [*(batch.column(k).take(at) for k in keys), batch.column("y").take(at), batch.column("x").take(at), batch.column("x").take(to), pa.array(label)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "y", "x0", "x1", "label"])
+
+    return run
+
+
+def _across(found: DataFrame, *keys: str, diagonal: bool) -> DataFrame:
+    """(a, b): labels of runs that touch at the sides of two tiles."""
+    side, last = pixel_tiles.SIDE, pixel_tiles.SIDE - 1
+    row, left, right = F.pmod("y", F.lit(side)), F.when(F.pmod("x0", F.lit(side)) == 0, F.col("x0")), F.when(F.pmod("x1", F.lit(side)) == last, F.col("x1"))
+    edge = found.select(*keys, "y", "label", F.explode(F.when(row.isin(0, last), F.sequence("x0", "x1")).otherwise(F.array_distinct(F.array_compact(F.array(left, right))))).alias("x"))
+    steps = [(1, 0), (0, 1), (1, 1), (-1, 1)] if diagonal else [(1, 0), (0, 1)]
+    asked = edge.withColumn("s", F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])))
+    of = pixel_tiles.of
+    asked = asked.where((of(F.col("x")) != of(F.col("s.x"))) | (of(F.col("y")) != of(F.col("s.y"))))
+    asked = asked.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("s.x").alias("_x"), F.col("s.y").alias("_y"), F.col("label").alias("a"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")))
+    return edge.join(asked, same).select("a", F.col("label").alias("b")).distinct()
 
 
 def labelled_runs(pixels: DataFrame, *keys: str, tables: Tables, diagonal: bool = True) -> DataFrame:
-    """(keys, y, x0, x1, label): runs with their component; label is a number that its runs share, any number."""
-    numbered = tables.write(tables.write(runs(pixels, *keys)).withColumn("id", F.monotonically_increasing_id()))
-    of = connected(touching(numbered, *keys, diagonal=diagonal), tables)
-    return numbered.join(of, F.col("id") == F.col("node"), "left").select(*keys, "y", "x0", "x1", F.coalesce("component", "id").alias("label"))
+    """(keys, y, x0, x1, label): a table of runs with their component; label is a number that its runs share, any number.
+
+    Runs end at the sides of tiles. Repeated pixels count once.
+    """
+    placed = pixels.select(*keys, "x", "y", pixel_tiles.of(F.col("y")).alias("_ty"), pixel_tiles.of(F.col("x")).alias("_tx"))
+    kinds = dict(placed.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, "y")), f"x0 {kinds['x']}, x1 {kinds['x']}, label long"])
+    found = tables.write(pixel_tiles.dealt(placed, *keys).mapInArrow(_labelled(keys, diagonal, pixel_tiles.SIDE), schema))
+    links = tables.write(_across(found, *keys, diagonal=diagonal))
+    if not links.head(1):
+        return found
+    of = connected(links, tables)
+    return tables.write(found.join(of, F.col("label") == F.col("node"), "left").select(*keys, "y", "x0", "x1", F.coalesce("component", "label").alias("label")))
 
 
 def component_table(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -92,7 +143,7 @@ def _summed(found: DataFrame, *keys: str) -> DataFrame:
 def largest_component(pixels: DataFrame, *keys: str) -> DataFrame:
     """(keys, x, y): the pixels of each mask's largest component; of equal ones that of the first pixel in reading order."""
     tables = Tables(pixels.sparkSession)
-    found = tables.write(labelled_runs(pixels.where("x IS NOT NULL AND y IS NOT NULL"), *keys, tables=tables))
+    found = labelled_runs(pixels.where("x IS NOT NULL AND y IS NOT NULL"), *keys, tables=tables)
     per = found.groupBy(*keys, "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), F.min(F.struct("y", "x0")).alias("top"))
     best = per.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "top", "label"))["label"].alias("label")).select("label")
     kept = found.join(best, "label", "left_semi")  # a label is one mask's

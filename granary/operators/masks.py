@@ -51,7 +51,7 @@ def filled(points: DataFrame, *keys: str) -> DataFrame:
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     free = tables.write(cells.select(*keys, "x", "y", "_t").join(told, same & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"))
-    found = tables.write(components.labelled_runs(free, *keys, tables=tables, diagonal=False))
+    found = components.labelled_runs(free, *keys, tables=tables, diagonal=False)
     # the component that holds the box's outer frame is outside; it begins in the row above the mask
     outside = found.join(box.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_t") - 1).alias("_first")), same & (F.col("y") == F.col("_first")), "left_semi").select("label").distinct()
     holes = found.join(outside, "label", "left_anti").select(*keys, F.explode(F.sequence("x0", "x1")).alias("x"), "y")

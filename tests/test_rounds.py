@@ -102,6 +102,24 @@ def test_largest_component(spark):
         assert got[k] == set(min(clusters(pixels), key=lambda own: (-len(own), min((y, x) for x, y in own))))
 
 
+@pytest.mark.parametrize("side", [1, 4, 7])
+def test_components_across_tiles(spark, monkeypatch, side):
+    """Masks of many tiles, with places below 0 too, and tiles that end in other batches."""
+    monkeypatch.setattr(components.pixel_tiles, "SIDE", side)
+    masks = {k: [(x - 9, y - 5) for x, y in own] for k, own in MASKS.items() if k != 4}
+    got = {(r["i"], r["top_y"], r["top_x"], r["pixels"]) for r in components.component_table(table(spark, masks), "i").collect()}
+    assert got == {(k, *min((y, x) for x, y in own), len(own)) for k, pixels in masks.items() for own in clusters(pixels)}
+    for r in components.degrees(table(spark, masks), "i").where("x IS NOT NULL").collect():
+        own = set(masks[r["i"]])
+        assert r["degree"] == sum((r["x"] + a, r["y"] + b) in own for a in (-1, 0, 1) for b in (-1, 0, 1)) - 1
+
+
+def test_components_of_small_masks_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "connected", lambda *a: pytest.fail("rounds for masks of one tile"))
+    masks = {k: [(x, y) for x, y in own] for k, own in MASKS.items()}
+    assert components.component_table(table(spark, masks), "i").count() == sum(len(clusters(own)) for own in masks.values())
+
+
 def test_ends_and_branches(spark):
     """A cross: four ends, and its five middle pixels are one branch."""
     cross = {1: [(x, 5) for x in range(11)] + [(5, y) for y in range(11)]}
