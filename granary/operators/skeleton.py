@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.geometry import axis_angle, unit_axis
+from granary.operators import pixel_tiles
 
 _AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
@@ -28,10 +31,34 @@ def neighbours(pixels: DataFrame, *keys: str, half: bool = False) -> DataFrame:
     return asked.join(there, [*keys, "_x", "_y"]).select(*keys, "x", "y", "dx", "dy")
 
 
+def _counted(keys: tuple[str, ...], side: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, new, x, y in pixel_tiles.whole(batches, keys):
+            code = pixel_tiles.codes(batch, new, x, y, side)
+            set_, own = np.unique(code), batch.column("_own").to_numpy(zero_copy_only=False)
+            code, degree = code[own], np.zeros(int(own.sum()), np.int64)
+            for dx, dy in _AROUND:
+                asked = code + dy * (side + 4) + dx
+                degree += set_[np.minimum(np.searchsorted(set_, asked), len(set_) - 1)] == asked
+            rows = batch.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in (*keys, "x", "y")), pa.array(degree)], names=[*keys, "x", "y", "degree"])
+
+    return run
+
+
 def degrees(pixels: DataFrame, *keys: str) -> DataFrame:
-    """(keys, x, y, degree, kind): ends have one neighbour, branches three or more."""
-    n = neighbours(pixels, *keys).groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
-    out = pixels.join(n, [*keys, "x", "y"], "left").select(*keys, "x", "y", F.coalesce("n", F.lit(0)).alias("degree"))
+    """(keys, x, y, degree, kind): ends have one neighbour, branches three or more.
+
+    Counted tile by tile; pixels at a tile's sides are known to the tiles beside it as well. Repeated pixels have a row
+    each and count once as neighbours; those without x or y have none.
+    """
+    of, there = pixel_tiles.of, F.col("x").isNotNull() & F.col("y").isNotNull()
+    beside = F.array_distinct(F.array(*[F.struct(of(F.col("y") + dy).alias("_ty"), of(F.col("x") + dx).alias("_tx")) for dx in (-1, 1) for dy in (-1, 1)]))
+    own = (F.col("_t._ty") == of(F.col("y"))) & (F.col("_t._tx") == of(F.col("x")))
+    placed = pixels.where(there).select(*keys, "x", "y", F.explode(beside).alias("_t")).select(*keys, "x", "y", "_t.*", own.alias("_own"))
+    kinds = dict(pixels.dtypes)
+    counted = pixel_tiles.dealt(placed, *keys).mapInArrow(_counted(keys, pixel_tiles.SIDE), ", ".join([*(f"`{c}` {kinds[c]}" for c in (*keys, "x", "y")), "degree long"]))
+    out = counted.unionByName(pixels.where(~there).select(*keys, "x", "y", F.lit(0).cast("long").alias("degree")))
     return out.withColumn("kind", F.when(F.col("degree") == 0, "isolated").when(F.col("degree") == 1, "end").when(F.col("degree") == 2, "path").otherwise("branch"))
 
 
