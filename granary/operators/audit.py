@@ -44,8 +44,14 @@ def filled_balance(balance: DataFrame, splits: list[str], classes: list, split:
 
 
 def missing_names(images: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """(side, key): what the report lists, images without a label file and label files without an image."""
-    return missing(images, files, key).withColumn("side", F.lit("label")).unionByName(missing(files, images, key).withColumn("side", F.lit("image"))).select("side", key)
+    """(side, key): what the report lists, images without a label file and label files without an image.
+
+    One sum over both: a task holds two counts for each key, and no side is sorted or joined. Null keys meet nothing.
+    """
+    of = lambda df, n, m: df.select(key, F.lit(n).alias("_images"), F.lit(m).alias("_files"))
+    met = of(images, 1, 0).unionByName(of(files, 0, 1)).groupBy(key).agg(F.sum("_images").alias("_images"), F.sum("_files").alias("_files"))
+    alone = lambda side, own, other: F.when((F.col(other) == 0) | F.col(key).isNull(), F.array_repeat(F.lit(side), F.col(own).cast("int"))).otherwise(F.array())
+    return met.select(F.explode(F.concat(alone("label", "_images", "_files"), alone("image", "_files", "_images"))).alias("side"), key)
 
 
 def label_states(images: DataFrame, files: DataFrame, instances: DataFrame, key: str) -> DataFrame:
