@@ -8,18 +8,42 @@ from pyspark.sql import functions as F
 from granary.operators import latency
 
 
+def _sums(images: DataFrame, instances: DataFrame, key: str, cls: str, classes: list, predicted: Column, true: Column | None) -> DataFrame:
+    """(key, _times, _c0, _c1, ...): how many rows an image has in `images`, and its counts of each class.
+
+    One sum over both tables' rows: a task holds some counts for each key, and neither side is sorted or joined.
+    """
+    true = F.lit(True) if true is None else true
+    mine = [F.coalesce((F.col(cls) == c) & side, F.lit(False)).cast("long") for c in classes for side in (true, predicted)]
+    flags = [f"_f{k}" for k in range(len(mine))]
+    found = instances.where(F.col(key).isNotNull()).select(key, F.lit(0).cast("long").alias("_times"), *[m.alias(f) for m, f in zip(mine, flags, strict=True)])
+    there = images.select(key, F.lit(1).cast("long").alias("_times"), *[F.lit(0).cast("long").alias(f) for f in flags])
+    met = there.unionByName(found).groupBy(key).agg(F.sum("_times").alias("_times"), *[F.sum(f).alias(f) for f in flags]).where("_times > 0")
+    return met.select(key, "_times", *[F.struct(F.col(f"_f{2 * k}").alias("gt"), F.col(f"_f{2 * k + 1}").alias("pred")).alias(f"_c{k}") for k in range(len(classes))])
+
+
+def _cells(cls: str, classes: list) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias(cls), *[F.col(f"_c{k}.{side}").alias(f"{side}_count") for side in ("gt", "pred")]) for k, c in enumerate(classes)])
+
+
 def count_grid(images: DataFrame, instances: DataFrame, key: str, cls: str, classes: list, predicted: Column, true: Column | None = None) -> DataFrame:
     """(key, class, gt_count, pred_count) for every image and class, zeros included.
 
     `predicted` and `true` (by default all) say which instances count on either side. Each image has one sum, a count for each of
-    the fixed classes, and is joined once; the grid is exploded afterwards.
+    the fixed classes; the grid is exploded afterwards. An image that `images` repeats has its rows as often.
     """
-    true = F.lit(True) if true is None else true
-    of = lambda c: F.struct(F.count_if((F.col(cls) == c) & true).alias("gt"), F.count_if((F.col(cls) == c) & predicted).alias("pred"))
-    found = instances.groupBy(key).agg(*[of(c).alias(f"_c{k}") for k, c in enumerate(classes)])
-    joined = images.select(key).join(found, key, "left")
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias(cls), *[F.coalesce(F.col(f"_c{k}.{side}"), F.lit(0)).alias(f"{side}_count") for side in ("gt", "pred")]) for k, c in enumerate(classes)]))
-    return joined.select(key, each.alias("_e")).select(key, "_e.*")
+    met = _sums(images, instances, key, cls, classes, predicted, true)
+    return met.select(key, F.explode(F.flatten(F.array_repeat(_cells(cls, classes), F.col("_times").cast("int")))).alias("_e")).select(key, "_e.*")
+
+
+def count_rows(images: DataFrame, instances: DataFrame, key: str, cls: str, classes: list, predicted: Column, true: Column | None = None) -> DataFrame:
+    """(row_type, key, class, gt_count, pred_count and errors): the rows of `count_grid` and of `image_totals`, whose class is overall."""
+    met = _sums(images, instances, key, cls, classes, predicted, true)
+    named = lambda kind: lambda e: F.struct(F.lit(kind).alias("row_type"), e[cls].alias(cls), e["gt_count"].alias("gt_count"), e["pred_count"].alias("pred_count"))
+    sums = {side: sum((F.col(f"_c{k}.{side}") for k in range(len(classes))), F.lit(0).cast("long")) * F.col("_times") for side in ("gt", "pred")}
+    total = F.array(F.struct(F.lit("total").alias("row_type"), F.lit("overall").alias(cls), sums["gt"].alias("gt_count"), sums["pred"].alias("pred_count")))
+    each = F.transform(F.flatten(F.array_repeat(_cells(cls, classes), F.col("_times").cast("int"))), named("class"))
+    return with_errors(met.select(key, F.explode(F.concat(each, total)).alias("_e")).select("_e.row_type", key, f"_e.{cls}", "_e.gt_count", "_e.pred_count"))
 
 
 def with_errors(counts: DataFrame) -> DataFrame:

@@ -48,9 +48,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.with_errors(counts.count_grid(*_counted(spark, sf_dir), "image", "class_name", CLASSES, F.col("l_discount") >= 0.03))
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     images = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"))
-    instances = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_name"), "l_discount")
-    return counts.with_errors(counts.count_grid(images, instances, "image", "class_name", CLASSES, F.col("l_discount") >= 0.03))
+    return images, _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_name"), "l_discount")
 
 
 _GRID = """WITH cell AS (SELECT l_orderkey AS image, l_returnflag AS class_name, count(*) AS gt, count(*) FILTER (l_discount >= 0.03) AS pred FROM lineitem GROUP BY 1, 2),
@@ -80,9 +83,8 @@ def count_error_image_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_GRID} SELECT 'class' AS row_type, image, class_name, gt_count, pred_count, error, abs_error, squared_error, exact FROM errors UNION ALL SELECT 'total', image, 'overall', gt_count, pred_count, error, abs_error, squared_error, exact FROM total_errors")
 def count_errors_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = _errors(spark, sf_dir)
-    total = counts.image_totals(errors, "image").withColumns({"row_type": F.lit("total"), "class_name": F.lit("overall")})
-    return errors.withColumn("row_type", F.lit("class")).unionByName(total).select("row_type", "image", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact")
+    rows = counts.count_rows(*_counted(spark, sf_dir), "image", "class_name", CLASSES, F.col("l_discount") >= 0.03)
+    return rows.select("row_type", "image", "class_name", "gt_count", "pred_count", "error", "abs_error", "squared_error", "exact")
 
 
 _EVAL = """WITH g AS (SELECT o_orderkey AS image, id AS class_id, count(*) FILTER (l_tax < 0.06) AS gt_count, count(*) FILTER (l_discount >= 0.03) AS pred_count

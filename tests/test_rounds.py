@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.operators import components, dedupe, detections, latency, ordered, samples, split
+from granary.operators import audit, components, counts, dedupe, detections, latency, ordered, samples, split
 from granary.shared import Tables
 
 
@@ -183,6 +183,27 @@ def test_settle_holds_back_what_waits_for_other_tiles():
     assert detections.settle(boxes_, none, ~none, 1, 0.3)[0].tolist() == [detections.FREE, detections.GONE, detections.OPEN, detections.OPEN]
 
 
+def test_count_rows_repeat_with_their_image(spark):
+    images = spark.createDataFrame([(1,), (1,), (2,), (None,)], "image int")
+    found = spark.createDataFrame([(1, "a", 1), (1, "b", 0), (1, None, 1), (3, "a", 1), (None, "a", 1)], "image int, cls string, p int")
+    asked = (images, found, "image", "cls", ["a", "b"], F.col("p") == 1)
+    grid = counts.with_errors(counts.count_grid(*asked))
+    total = counts.image_totals(grid, "image").withColumns({"row_type": F.lit("total"), "cls": F.lit("overall")})
+    want = grid.withColumn("row_type", F.lit("class")).unionByName(total)
+    got = counts.count_rows(*asked)
+    assert Counter(map(tuple, got.select(want.columns).collect())) == Counter(map(tuple, want.collect()))
+    assert Counter((r["image"], r["cls"], r["gt_count"], r["pred_count"]) for r in grid.collect()) == Counter([(1, "a", 1, 1), (1, "b", 1, 0)] * 2 + [(i, c, 0, 0) for i in (2, None) for c in "ab"])
+    assert "Join" not in got._jdf.queryExecution().toString() and "Sort" not in got._jdf.queryExecution().toString()
+
+
+def test_missing_names_take_one_sum(spark):
+    images = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int")
+    files = spark.createDataFrame([(2,), (3,), (3,), (None,)], "k int")
+    got = audit.missing_names(images, files, "k")
+    assert Counter(map(tuple, got.collect())) == Counter([("label", 1), ("label", 1), ("label", None), ("image", 3), ("image", 3), ("image", None)])
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
 def named(rows):
     """The sequence that names are given in, one sample after the other."""
     used, out = set(), []
