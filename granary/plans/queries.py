@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import geometry, text
 from granary.operators import audit, balance, components, counts, dedupe, detections, distance, latency, masks, samples, skeleton, split
+from granary.shared import parts
 from granary.sources import labels, reports
 
 CLASSES = ["A", "N", "R"]
@@ -550,7 +551,9 @@ def audit_label_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o.split, c.cls, count(l_orderkey) AS instances, count(DISTINCT l_orderkey) AS images FROM (VALUES ('F'), ('O'), ('X')) o(split) CROSS JOIN (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN r ON r.split = o.split AND r.cls = c.cls GROUP BY 1, 2
 UNION ALL SELECT NULL, c.cls, count(l_orderkey), count(DISTINCT l_orderkey) FROM (VALUES ('A'), ('R'), ('Z')) c(cls) LEFT JOIN r ON r.cls = c.cls GROUP BY 2""")
 def audit_filled_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("split"), F.col("l_returnflag").alias("cls"), F.col("l_orderkey").alias("image"))
+    lines, orders = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders")
+    n = parts(spark, lines.count())  # from the files' footers
+    rows = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderstatus").alias("split"), F.col("l_returnflag").alias("cls"), F.col("l_orderkey").alias("image"))
     return audit.filled_balance(audit.class_balance(rows, "split", "cls", "image"), ["F", "O", "X"], ["A", "R", "Z"], "split", "cls")
 
 

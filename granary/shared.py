@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def parts(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """How many partitions give every task about `each` of so many rows, and every core one at least.
+
+    A number that is asked for is kept, while partitions of plain joins and sums are merged up to a size in bytes: the
+    memory of a task then follows that size, and how well its rows compress.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 class Tables:
     """Tables between the steps of one operator. `drop` removes those that nothing reads any more."""
 

@@ -96,3 +96,11 @@ def test_geometry_rows_follow_the_class(spark):
     line = got[4]
     assert (line["first_x"], line["first_y"], line["last_x"], line["last_y"], line["length_px"], line["angle_deg"]) == (0, 2, 59, 2, 59.0, 0.0)
     assert (got[6]["length_px"], got[6]["first_x"]) == (0.0, None)
+
+
+def test_filled_balance_deals_its_join_by_size(spark):
+    parts = plans.parts
+    cores = spark.sparkContext.defaultParallelism
+    assert [parts(spark, 0), parts(spark, 500_000 * cores + 1), parts(spark, 36_000_000)] == [cores, cores + 1, max(cores, 72)]
+    plan = plans.queries()["audit_filled_balance"](spark, SF_DIR)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
