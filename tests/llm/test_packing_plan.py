@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from granary.llm import packing
@@ -47,3 +48,13 @@ def test_other_capacities():
             for k, n in contents.items():
                 covered[k] += times * n
         assert covered == histogram and bound <= sum(t for t, _ in plan) <= 1.05 * bound + 2
+
+
+def test_words_share_runs_of_letters():
+    encoder = packing.WordEncoder(packing.default_vocabulary())
+    words = ["tree", "Tree,", "TREE!?", "tree's", "Été,", "été", "''", "!!", "a.b", "42", "É'", "<|endoftext|>"]
+    ids, edge = encoder.encode(pa.array(words))
+    for k, word in enumerate(words):
+        assert ids[edge[k] : edge[k + 1]].tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids, word
+    assert {"tree", "été"} < set(encoder.place)  # each once, whatever its case and marks
+    assert not {"Tree,", "TREE!?", "Été,", " Tree,"} & set(encoder.place)
